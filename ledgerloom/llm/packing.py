@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from ledgerloom.llm.columns import text_slices
 from ledgerloom.llm.tokens import SLICE_BYTES, encoder, with_end
+from ledgerloom.shipping import ship
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -119,4 +120,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
         if rows := flush():
             yield out(rows)
 
+    ship(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.columns import text_slices
 from ledgerloom.llm.tokens import SLICE_BYTES, binary, encoder, with_end
+from ledgerloom.shipping import ship
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -136,6 +137,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shards:
     The driver gets one small row for each file, which is as many as there are partitions. shards: by default
     spark.sql.shuffle.partitions."""
     spark = docs.sparkSession
+    ship(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,4 +184,5 @@ def read(spark: SparkSession, manifest: list[tuple[int, str, int, int]], folder:
                         )
                         at = end
 
+    ship(spark)
     return spark.range(0, len(manifest), 1, max(1, len(manifest))).mapInArrow(run, schema)
