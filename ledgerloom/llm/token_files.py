@@ -158,7 +158,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shards:
         yield pa.record_batch([pa.array([x]) for x in (task.partitionId(), path, len(writer.docs), writer.n_ids)], names=["shard", "path", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    found = sorted(rows.mapInArrow(run, "shard int, path string, n_docs long, n_ids long").collect())
+    found = sorted(rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long").collect())
     before = np.concatenate([[0], np.cumsum([r.n_ids for r in found], dtype=np.int64)]).tolist()
     return [(r.shard, r.path, r.n_docs, b) for r, b in zip(found, before, strict=False)]
 
