@@ -33,9 +33,11 @@ from ledgerloom.llm.store import written
 from ledgerloom.shipping import ship
 
 #: How many of the most frequent tokens are broadcast (16 bytes each) to be put last in the order of tokens.
-FREQUENT = 100_000
+FREQUENT = 200_000
 #: A slice of texts reports tokens that it has so often.
-LOCAL = 8
+LOCAL = 3
+#: The most buckets of keys that are broadcast (some 50 bytes each) to pick texts before they are shuffled.
+SIEVE = 1 << 19
 _BITS = 20
 
 
@@ -76,8 +78,16 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
             often = n >= LOCAL
             yield pa.record_batch([pa.array(tokens[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    counted = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "ngram-frequent")
+    # the least level of counts above which there are no more than FREQUENT tokens; levels are few
+    level = F.floor(F.log2("n") * 8).cast("int")
+    least, total = 10_000, 0
+    for row in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        total += row.k
+        if total > FREQUENT:
+            break
+        least = row.level
+    top = counted.filter(level >= least).toArrow()
     tokens, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     return tokens[np.lexsort((tokens, n))]
 
@@ -141,21 +151,28 @@ class Join:
         sets = self.rows.filter("n > 0").groupBy("digest").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")
         )
-        # a band is a little narrower than the least ratio of sizes, so rounding can't part similar sizes by two bands
-        band = F.floor(F.log("n") / F.log(F.lit(100 / percent * 1.001))).cast("int")
-        self.sets = written(sets.select(F.monotonically_increasing_id().alias("id"), "digest", "rep", "n", band.alias("band"), "prefix", "bits"), "ngram-sets")
+        self.sets = written(sets.select(F.monotonically_increasing_id().alias("id"), "digest", "rep", "n", "prefix", "bits"), "ngram-sets")
+
+    def _band(self) -> Column:
+        # a band is a little wider than the least ratio of sizes, so rounding can't part similar sizes by two bands
+        return F.floor(F.log("n") / F.log(F.lit(100 / self.percent * 1.001))).cast("int").alias("band")
 
     def _tiles(self) -> DataFrame:
-        """(token, id, n, band, pos) of prefix tokens that two or more sets share."""
-        one = self.sets.select("id", "n", "band", F.posexplode("prefix").alias("pos", "token"))
-        shared = one.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-        return written(one.join(shared, "token", "left_semi"), "ngram-tiles")
+        """(token, band, id, n, pos) of prefix tokens that two or more sets share."""
+        one = self.sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+        shared = self.sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+        return written(one.join(shared, "token", "left_semi").select("token", self._band(), "id", "n", "pos"), "ngram-tiles")
+
+    def _shingles(self, ids: DataFrame) -> DataFrame:
+        """(id, shingles) of these sets, from the text of one document of each.
 
-    def _shingles(self, tiles: DataFrame) -> DataFrame:
-        """(id, shingles) of the sets in tiles, from the text of one document of each."""
+        Only texts whose key falls on one of at most SIEVE broadcast buckets are shuffled."""
         size = self.size
-        wanted = self.sets.join(tiles.select("id").distinct(), "id", "left_semi").select("id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key"), "digest")
+        wanted = written(self.sets.join(ids, "id", "left_semi").select("id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key"), "digest"), "ngram-wanted")
+        m = min(SIEVE, max(1024, 8 * wanted.count()))
+        buckets = F.broadcast(wanted.select(F.pmod("rep_key", F.lit(m)).alias("bucket")).distinct())
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tkey"), F.col("text").cast("string").alias("text"))
+        texts = texts.join(buckets, F.pmod("tkey", F.lit(m)) == F.col("bucket"), "left_semi")
         found = texts.join(wanted, (F.coalesce("doc_id", F.lit(-1)) == F.coalesce("rep_id", F.lit(-1))) & (F.col("tkey") == F.col("rep_key"))).select("id", "digest", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +183,14 @@ class Join:
 
         return written(found.mapInArrow(run, "id long, shingles binary"), "ngram-shingles")
 
-    def _verified(self, pairs: DataFrame, shingles: DataFrame, name: str) -> DataFrame:
-        """The links (a, b) among pairs (a, b)."""
+    def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The links (a, b) among pairs (a, b): those that the bitmaps leave, by intersecting their shingles."""
         percent = self.percent
         side = lambda s: self.sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"))
         na, nb = F.col("na"), F.col("nb")
         bounded = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(_differ(F.col("bitsa"), F.col("bitsb")) <= na + nb - 2 * _need(na, nb, percent)).select("a", "b")
+        bounded = written(bounded, f"{name}-pairs")
+        shingles = self._shingles(bounded.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         of = lambda s: shingles.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,18 +202,17 @@ class Join:
                     linked.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-        return written(written(bounded, f"{name}-pairs").join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long"), f"{name}-links")
+        return written(bounded.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long"), f"{name}-links")
 
     def groups(self) -> DataFrame:
         """(digest, component, keeper): the smallest doc_id of each set's group, and the row that stands for the group."""
         percent = self.percent
         tiles = self._tiles()
-        shingles = self._shingles(tiles)
         pivots = tiles.groupBy("token", "band").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("np"))
         beside = pivots.unionAll(pivots.withColumn("band", F.col("band") + 1))
         close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
         first = tiles.join(beside, ["token", "band"]).filter((F.col("id") != F.col("pivot")) & close(F.col("n"), F.col("np"))).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        links = self._verified(first, shingles, "ngram-first")
+        links = self._verified(first, "ngram-first")
         group = components(links)
         named = tiles.join(group, tiles["id"] == group["node"], "left").select("token", "id", "n", "band", "pos", F.coalesce("component", "id").alias("comp"))
         open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
@@ -205,7 +223,7 @@ class Join:
         second = small.join(large, ["token", "band"]).filter(
             (F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("id1") < F.col("id2")))) & close(F.col("n1"), F.col("n2")) & (rest >= _need(F.col("n1"), F.col("n2"), percent))
         ).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
-        links = links.unionAll(self._verified(second, shingles, "ngram-second"))
+        links = links.unionAll(self._verified(second, "ngram-second"))
         group = components(links)
         member = self.sets.join(group, self.sets["id"] == group["node"], "left").select("digest", "rep", F.coalesce("component", "id").alias("comp"))
         least = member.groupBy("comp").agg(F.min("rep").alias("keeper"))
