@@ -1,15 +1,312 @@
-"""Registry of the engine's own queries and of their DuckDB SQL."""
+"""Registry of the engine's own queries and of their DuckDB SQL.
+
+Queries named in INVARIANTS return violations and so nothing; their SQL is that constant, which checks no value.
+Queries without SQL need the sequential fold; tests hold them against pinned streams and against the book that is rebuilt
+from events.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import codes
+from ledgerloom.operators import election, log, matching, replication, views
+from ledgerloom.plans import derive, invariants, replay
+from ledgerloom.sources import binary, orders
+from ledgerloom.store import new_path, written
+
+LEADER, NODES = 1, 5
+#: A snapshot is taken after so many commands of each book, and a prefix replayed to there.
+SNAPSHOT_AT = 400
+
+
+def _static(spark: SparkSession, d: str) -> DataFrame:
+    return views.static_book(derive.commands(spark, d))
+
+
+def _aggressors(spark: SparkSession, d: str) -> DataFrame:
+    return derive.commands(spark, d).filter((codes.stateless_reason() == "NONE") & (F.col("tif") == "IOC"))
+
+
+def _match(spark: SparkSession, d: str, text: bool = False) -> DataFrame:
+    return matching.match(derive.commands(spark, d), text=text)
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return matching.book_orders(matching.snapshots(derive.commands(spark, d)))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    return election.answers(derive.votes(spark, d))
+
+
+def _leaders(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate with two votes or more claims to lead: enough for claims to collide."""
+    return election.tally(_answers(spark, d), NODES).filter("votes >= 2").select("term", F.col("candidate_id").alias("leader"))
+
+
+def parse_orders(spark: SparkSession, d: str) -> DataFrame:
+    lines = derive.commands(spark, d).select("book", F.col("seq").alias("line_no"), F.concat(orders.order_line(), F.lit("  # flow")).alias("value"))
+    return orders.parsed_lines(lines).filter("error is null").select("book", F.col("line_no").alias("seq"), "kind", "id", "side", "type", "tif", "price", "quantity")
+
+
+def validate_stateless(spark: SparkSession, d: str) -> DataFrame:
+    return derive.commands(spark, d).select("book", "seq", codes.stateless_reason().alias("reason"))
+
+
+def command_mix(spark: SparkSession, d: str) -> DataFrame:
+    return derive.commands(spark, d).groupBy("kind", "type", "tif").agg(F.count("*").alias("commands"), F.coalesce(F.sum("quantity"), F.lit(0)).cast("long").alias("quantity"))
+
+
+def enum_names(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    side = codes.name_of(e % 3, codes.SIDES)
+    return derive.events(spark, d).select("event_id", side.alias("side"), codes.opposite(side).alias("opposite"), codes.name_of(e % 9, codes.REASONS).alias("reason"), codes.code_of(codes.name_of(e % 9, codes.REASONS), codes.REASONS).cast("long").alias("reason_code"), codes.decoded(e % 4, codes.TIFS).alias("tif"))
+
+
+def log_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """Entries offered in the order of arrival: every hundredth comes twice, every thousandth of node 3 is missing at first."""
+    one = derive.log(spark, d).select("node_id", "seq", F.col("seq").alias("arrival")).filter("not (node_id = 3 and seq % 1000 = 0)")
+    return log.accepted(one.withColumn("arrival", F.col("arrival") * 2).unionAll(one.filter("seq % 100 = 0").select("node_id", "seq", (F.col("seq") * 2 + 1).alias("arrival"))))
+
+
+def log_term_at(spark: SparkSession, d: str) -> DataFrame:
+    kept, boundary = log.with_boundary(derive.log(spark, d), 100, 1)
+    wanted = spark.range(0, 600, 50).select(F.col("id").alias("seq")).join(F.broadcast(spark.range(1, 6).select(F.col("id").alias("node_id"))))
+    return log.term_at(kept, wanted, boundary)
+
+
+def log_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return log.bounds(*log.with_boundary(derive.log(spark, d), 100, 1))
+
+
+def submit_status(spark: SparkSession, d: str) -> DataFrame:
+    e, v = F.col("event_id"), F.floor("value").cast("long")
+    rows = derive.events(spark, d).select("event_id", (e % 10 != 0).alias("is_primary"), (e % 2 == 0).alias("synchronous"), (e % 7).alias("backups"), (e + v % 12).alias("last_seq"), e.alias("commit_seq"), (e % 11 == 0).alias("saturated"))
+    return replication.submit_status(rows, 8).select("event_id", "status")
+
+
+def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Books whose snapshot does not have its checksums any more after it was written, read and restored."""
+    return matching.verified(written(matching.snapshots(derive.commands(spark, d)), "snapshot")).filter("not valid").select("book")
+
+
+def prefix_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Events that differ between one run and two, the second from the snapshot of the first."""
+    commands = derive.commands(spark, d)
+    first = commands.filter(F.col("seq") <= SNAPSHOT_AT)
+    state = written(matching.snapshots(first), "snapshot")
+    parts = matching.match(first).unionAll(matching.match(commands.filter(F.col("seq") > SNAPSHOT_AT), state))
+    return invariants.differences(matching.match(commands), parts).select("book", "event_seq")
+
+
+def recovery_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Books whose state after snapshot and log, which overlap, is not that of the whole log."""
+    commands = derive.commands(spark, d)
+    state = written(matching.snapshots(commands.filter(F.col("seq") <= SNAPSHOT_AT)), "snapshot")
+    again = matching.recover(state, commands.filter(F.col("seq") > SNAPSHOT_AT // 2))
+    cols = ("book", "command_seq", "event_seq", "arrivals", "state_checksum")
+    return invariants.differences(again.select(*cols), matching.snapshots(commands).select(*cols)).select("book")
+
+
+def book_from_events(spark: SparkSession, d: str) -> DataFrame:
+    """Resting orders that differ between the fold and the book rebuilt from its events."""
+    rebuilt = views.rests_in_order(views.book_from_events(_match(spark, d)), "rested_at")
+    held = _orders(spark, d).select("book", "side", "price", "id", "quantity", "queue_pos")
+    return invariants.differences(rebuilt, held).select("book", "id")
+
+
+def stream_matches_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Event lines that differ between the batch fold and a stream that gets the commands in three files, out of order
+    and with repetitions."""
+    from ledgerloom.streaming import live
+
+    at = new_path(spark, "stream")
+    commands = derive.commands(spark, d)
+    late = F.col("seq") % 3
+    for k, part in enumerate((commands.filter(late == 1), commands.filter(late != 1), commands.filter(late == 2))):
+        part.write.parquet(f"{at}/in/part={k}")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
+    try:
+        rows = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 16).parquet(f"{at}/in/part=*")
+        live.write_stream(live.match_stream(rows), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return invariants.differences(spark.read.parquet(f"{at}/out").select("book", "event_seq", "text"), matching.match(commands).select("book", "event_seq", "text")).select("book", "event_seq")
+
+
+def wal_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The command log after it was written to write-ahead files, one a book, and read from them."""
+    rows = derive.commands(spark, d).withColumn("term", F.floor((F.col("seq") - 1) / 100).cast("long") + 1)
+    return binary.read_wal(binary.wal_bytes(rows)).select(F.col("path").cast("long").alias("book"), "seq", "term", "kind", "id", "instrument", "side", "type", "tif", "price", "quantity")
+
+
+def wal_torn_tail(spark: SparkSession, d: str) -> DataFrame:
+    """Records and torn bytes of write-ahead files that lost their last seven bytes."""
+    files = binary.wal_bytes(derive.commands(spark, d).withColumn("term", F.lit(1).cast("long")))
+    return binary.wal_report(files.select("path", F.expr("substring(content, 1, length(content) - 7)").alias("content"))).select(F.col("path").cast("long").alias("book"), "records", "torn_bytes")
+
+
+def crc32_payload(spark: SparkSession, d: str) -> DataFrame:
+    return derive.commands(spark, d).select("book", "seq", F.crc32(orders.order_line().cast("binary")).alias("crc"))
+
+
+def nth_event_of_type(spark: SparkSession, d: str) -> DataFrame:
+    return views.nth(_match(spark, d), "TRADE", 3).select("book", "event_seq", "command_seq", "id", "resting_id", "price", "quantity")
+
+
+def percentile_floor(spark: SparkSession, d: str) -> DataFrame:
+    return views.percentile_floor(derive.commands(spark, d).filter("kind = 'N'"), "quantity", 0.99, "book")
+
+
+def amplification_ratios(spark: SparkSession, d: str) -> DataFrame:
+    return replication.amplification(derive.messages(spark, d), derive.commands(spark, d))
+
+
+def final_book(spark: SparkSession, d: str) -> DataFrame:
+    return _orders(spark, d)
+
+
+def checksums(spark: SparkSession, d: str) -> DataFrame:
+    return replay.summary(derive.commands(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    functions = (
+        parse_orders, validate_stateless, command_mix, enum_names, log_accepted, log_term_at, log_bounds, submit_status, snapshot_roundtrip, prefix_replay, recovery_as_of,
+        book_from_events, stream_matches_batch, wal_roundtrip, wal_torn_tail, crc32_payload, nth_event_of_type, percentile_floor, amplification_ratios, final_book, checksums,
+    )
+    return {f.__name__: f for f in functions} | {
+        "derived_commands": derive.commands,
+        "static_book_depth": lambda s, d: views.depth(_static(s, d)),
+        "static_top_of_book": lambda s, d: views.top_of_book(_static(s, d)),
+        "static_quantity_at": lambda s, d: views.quantity_at(_static(s, d), "BUY", 107),
+        "static_order_counts": lambda s, d: views.order_counts(_static(s, d)),
+        "static_front_level": lambda s, d: views.front_level(_static(s, d)).select("book", "side", "price", "id", "quantity"),
+        "static_contains": lambda s, d: derive.commands(s, d).filter("kind = 'C'").join(_static(s, d).select("book", "id"), ["book", "id"], "left_semi").select("book", "seq", "id"),
+        "book_order_walk": lambda s, d: views.walk(_static(s, d)),
+        "crossing_pairs": lambda s, d: views.crossing_levels(_static(s, d)),
+        "sweep_single_aggressor": lambda s, d: views.sweep(_static(s, d), _aggressors(s, d)),
+        "match_events": lambda s, d: _match(s, d, text=True),
+        "events_by_type": lambda s, d: views.by_type(_match(s, d)),
+        "trades": lambda s, d: views.trades(_match(s, d)),
+        "tob_changes": lambda s, d: views.tob_changes(_match(s, d)),
+        "quotes_at_trades": lambda s, d: views.quotes_at_trades(_match(s, d)),
+        "bars": lambda s, d: views.bars(_match(s, d), 100),
+        "final_depth": lambda s, d: views.depth(_orders(s, d)),
+        "conservation": lambda s, d: invariants.conservation(_match(s, d), _orders(s, d)),
+        "uncrossed_book": lambda s, d: invariants.uncrossed(_orders(s, d)),
+        "queue_order": lambda s, d: invariants.queue_order(_orders(s, d)),
+        "trade_within_limit": lambda s, d: invariants.trade_within_limit(_match(s, d), derive.commands(s, d)),
+        "gapless_events": lambda s, d: invariants.gapless(_match(s, d)),
+        "silent_commands": lambda s, d: invariants.silent_commands(_match(s, d), derive.commands(s, d)),
+        "late_tops": lambda s, d: invariants.late_tops(_match(s, d)),
+        "log_append": lambda s, d: log.appended(derive.events(s, d).filter("event_type <> 'error'").select(F.col("user_id").alias("node_id"), "event_id"), "event_id"),
+        "log_gaps": lambda s, d: log.gaps(derive.log(s, d)),
+        "log_entry_at": lambda s, d: log.entry_at(derive.log(s, d), 401),
+        "log_range_guarded": lambda s, d: log.entries(log.truncated_through(derive.log(s, d).filter("node_id > 2 or seq < 300"), 250), 290, 64),
+        "log_can_serve": lambda s, d: log.can_serve(log.truncated_through(derive.log(s, d), 250), 251),
+        "log_truncate_tail": lambda s, d: log.truncated_from(derive.log(s, d), 500),
+        "log_truncate_prefix": lambda s, d: log.truncated_through(derive.log(s, d), 500),
+        "log_matching": lambda s, d: replication.log_matching(derive.log(s, d), LEADER),
+        "conflict_resolution": lambda s, d: replication.resolved(derive.log(s, d), LEADER),
+        "stale_terms": lambda s, d: replication.stale_terms(derive.acks(s, d), "msg_no").select("msg_no", "follower_id", "term", "seen"),
+        "latest_acks": lambda s, d: replication.latest_acks(derive.acks(s, d)),
+        "majority_commit": lambda s, d: replication.majority_commit(derive.log(s, d), derive.acks(s, d), LEADER, NODES),
+        "follower_commits": lambda s, d: replication.follower_commits(derive.acks(s, d)),
+        "divergence_check": lambda s, d: replication.divergences(derive.acks(s, d)),
+        "compacted_log": lambda s, d: replication.compacted(derive.log(s, d), 700, 650).groupBy("node_id").agg(F.count("*").alias("entries"), F.min("seq").alias("first_seq")),
+        "follower_lag": lambda s, d: replication.lags(derive.log(s, d), derive.acks(s, d), LEADER),
+        "observed_terms": lambda s, d: election.observed_terms(derive.votes(s, d)).select("arrival", "voter_id", "current_term"),
+        "vote_answers": lambda s, d: _answers(s, d),
+        "vote_tally": lambda s, d: election.tally(_answers(s, d), NODES),
+        "first_vote_per_term": lambda s, d: election.first_votes(_answers(s, d)),
+        "split_brain": lambda s, d: election.split_brain(_leaders(s, d)),
+        "leaders_highest_term": lambda s, d: election.highest(_leaders(s, d)),
+    }
+
+
+#: Queries whose result is empty by an invariant, and the columns of their SQL.
+INVARIANTS = {
+    "snapshot_roundtrip": "book", "prefix_replay": "book event_seq", "recovery_as_of": "book", "book_from_events": "book id", "stream_matches_batch": "book event_seq",
+    "conservation": "book", "uncrossed_book": "book", "queue_order": "book id", "trade_within_limit": "book event_seq", "gapless_events": "book event_seq", "silent_commands": "book command_seq", "late_tops": "book event_seq",
+}
+
+_REASON = "case when kind = 'C' then null when instrument <> book then 'WRONG_INSTRUMENT' when quantity = 0 then 'ZERO_QUANTITY' when type = 'LIMIT' and price <= 0 then 'NON_POSITIVE_PRICE' when type = 'MARKET' and tif <> 'IOC' then 'MARKET_ORDER_MUST_BE_IOC' else 'NONE' end"
+_C = f"with commands as ({derive.COMMANDS_SQL}), valid as (select * from commands where {_REASON} = 'NONE'), resting as (select book, side, price, id, quantity, seq as arrival from valid where type = 'LIMIT' and tif = 'GTC'), levels as (select book, side, price, cast(sum(quantity) as bigint) as quantity, count(*) as orders from resting group by all)"
+_KEY = "case when side = 'BUY' then -price else price end"
+_L = f"with log as ({derive.LOG_SQL})"
+_A = f"with acks as ({derive.ACKS_SQL}), log as ({derive.LOG_SQL}), latest as (select follower_id, coalesce(max_by(match_seq, msg_no) filter (where ok), 0) as match_seq, max_by(last_applied, msg_no) as last_applied, max_by(state_checksum, msg_no) as state_checksum, max_by(term, msg_no) as term from acks group by follower_id)"
+_V = f"""with votes as ({derive.VOTES_SQL}), seen as (select *, max(term) over (partition by voter_id order by arrival) as current_term from votes),
+fits as (select *, term = current_term and candidate_seq >= voter_seq as fit from seen),
+voted as (select f.*, (select g.candidate_id from fits as g where g.voter_id = f.voter_id and g.term = f.term and g.arrival < f.arrival and g.fit order by g.arrival limit 1) as voted from fits as f),
+answers as (select arrival, term, voter_id, candidate_id, case when term < current_term then 'STALE_TERM' when voted <> candidate_id then 'ALREADY_VOTED' when candidate_seq < voter_seq then 'STALE_LOG' else 'GRANTED' end as answer from voted),
+tally as (select term, candidate_id, count(distinct voter_id) as votes, count(distinct voter_id) >= 3 as won from answers where answer = 'GRANTED' group by all),
+leaders as (select term, candidate_id as leader from tally where votes >= 2)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    empty = {k: "select " + ", ".join(f"cast(0 as bigint) as {c}" for c in cols.split()) + " where false" for k, cols in INVARIANTS.items()}
+    names = "case event_id % 9 when 0 then 'NONE' when 1 then 'DUPLICATE_ORDER_ID' when 2 then 'UNKNOWN_ORDER_ID' when 3 then 'ZERO_QUANTITY' when 4 then 'NON_POSITIVE_PRICE' when 5 then 'WRONG_INSTRUMENT' when 6 then 'MARKET_ORDER_MUST_BE_IOC' else '?' end"
+    return empty | {
+        "derived_commands": derive.COMMANDS_SQL,
+        "parse_orders": f"{_C} select book, seq, kind, id, side, type, tif, price, quantity from commands",
+        "wal_roundtrip": f"{_C} select book, seq, cast(floor((seq - 1) / 100) as bigint) + 1 as term, kind, id, instrument, side, type, tif, price, quantity from commands",
+        # a record has a header of 16 bytes, an entry of 16 and a tag; a cancel has 8 more, a new order 31
+        "wal_torn_tail": f"{_C} select book, count(*) - 1 as records, cast(max_by(case when kind = 'C' then 41 else 64 end, seq) - 7 as bigint) as torn_bytes from commands group by book",
+        "validate_stateless": f"{_C} select book, seq, {_REASON} as reason from commands",
+        "command_mix": f"{_C} select kind, type, tif, count(*) as commands, cast(coalesce(sum(quantity), 0) as bigint) as quantity from commands group by all",
+        "enum_names": f"select event_id, case event_id % 3 when 0 then 'BUY' when 1 then 'SELL' else '?' end as side, case event_id % 3 when 0 then 'SELL' when 1 then 'BUY' end as opposite, {names} as reason, case when event_id % 9 < 7 then event_id % 9 end as reason_code, case event_id % 4 when 0 then 'GTC' when 1 then 'IOC' end as tif from events",
+        "static_book_depth": f"{_C} select * from levels",
+        "static_top_of_book": f"{_C} select book, max(price) filter (where side = 'BUY') as bid_price, max_by(quantity, price) filter (where side = 'BUY') as bid_qty, min(price) filter (where side = 'SELL') as ask_price, min_by(quantity, price) filter (where side = 'SELL') as ask_qty from levels group by book",
+        "static_quantity_at": f"{_C} select book, cast(coalesce(sum(quantity) filter (where side = 'BUY' and price = 107), 0) as bigint) as quantity from resting group by book",
+        "static_order_counts": f"{_C} select book, count(*) as orders, false as is_empty from resting group by book",
+        "static_front_level": f"{_C} select book, side, price, id, quantity from resting qualify dense_rank() over (partition by book, side order by {_KEY}) = 1",
+        "static_contains": f"{_C} select book, seq, id from commands where kind = 'C' and (book, id) in (select book, id from resting)",
+        "book_order_walk": f"{_C} select book, side, row_number() over (partition by book, side order by {_KEY}, arrival) as place, price, arrival, id, quantity from resting",
+        "crossing_pairs": f"{_C} select b.book, b.price as bid_price, b.quantity as bid_qty, a.price as ask_price, a.quantity as ask_qty from levels as b join levels as a on a.book = b.book and b.side = 'BUY' and a.side = 'SELL' and a.price <= b.price",
+        "sweep_single_aggressor": f"""{_C}, queued as (select *, coalesce(sum(quantity) over (partition by book, side order by {_KEY}, arrival rows between unbounded preceding and 1 preceding), 0) as before_qty from resting),
+            agg as (select * from valid where tif = 'IOC')
+            select q.book, a.id as aggressor_id, q.id as resting_id, q.price, cast(least(q.quantity, a.quantity - q.before_qty) as bigint) as quantity
+            from agg as a join queued as q on q.book = a.book and q.side <> a.side and q.before_qty < a.quantity
+            where a.type = 'MARKET' or (a.side = 'BUY' and q.price <= a.price) or (a.side = 'SELL' and q.price >= a.price)""",
+        "percentile_floor": f"{_C}, ranked as (select book, quantity, row_number() over (partition by book order by quantity) as r, count(*) over (partition by book) as n from commands where kind = 'N') select book, quantity as percentile from ranked where r - 1 = cast(floor(0.99 * (n - 1)) as bigint)",
+        "amplification_ratios": f"with messages as ({derive.MESSAGES_SQL}), s as (select count(*) as messages, cast(sum(entries) as bigint) as entries, cast(sum(n_bytes) as bigint) as n_bytes from messages), c as (select count(*) as commands from events) select *, messages * 1000 // commands as messages_per_1000, entries * 1000 // commands as entries_per_1000, n_bytes * 1000 // commands as n_bytes_per_1000 from s, c",
+        "log_accepted": f"""{_L}, one as (select node_id, seq from log where not (node_id = 3 and seq % 1000 = 0)), offered as (select node_id, seq, seq * 2 as arrival from one union all select node_id, seq, seq * 2 + 1 from one where seq % 100 = 0),
+            cuts as (select node_id, min(seq) as cut from (select node_id, seq, seq - coalesce(lag(seq) over (partition by node_id order by seq), 0) as step from one) as x where step > 1 group by node_id)
+            select node_id, seq, arrival, arrival % 2 = 0 and (cut is null or seq < cut) as accepted from offered left join cuts using (node_id)""",
+        "log_append": "select user_id as node_id, event_id, row_number() over (partition by user_id order by event_id) as seq from events where event_type <> 'error'",
+        "log_term_at": f"{_L} select n.node_id, w.seq, case when w.seq = 0 then 0 when w.seq = 100 then 1 else l.term end as term from (select unnest(range(0, 600, 50)) as seq) as w cross join (select unnest(range(1, 6)) as node_id) as n left join (select * from log where seq > 100) as l on l.node_id = n.node_id and l.seq = w.seq",
+        "log_bounds": f"{_L} select node_id, min(seq) as first_seq, max(seq) as last_seq, count(*) as size from log where seq > 100 group by node_id",
+        "log_gaps": f"{_L} select node_id, prev as after_seq, seq as next_seq, seq - prev - 1 as missing from (select *, coalesce(lag(seq) over (partition by node_id order by seq), 0) as prev from log) as x where seq - prev > 1",
+        "log_entry_at": f"{_L} select * from log where seq = 401",
+        "log_range_guarded": f"{_L}, kept as (select * from log where (node_id > 2 or seq < 300) and seq > 250) select * from kept where seq between 290 and 353 and node_id in (select node_id from kept group by node_id having min(seq) <= 290 and max(seq) >= 290)",
+        "log_can_serve": f"{_L}, kept as (select * from log where seq > 250) select node_id, 251 = max(seq) + 1 or (251 between min(seq) and max(seq)) as can_serve from kept group by node_id",
+        "log_truncate_tail": f"{_L} select * from log where seq < 500",
+        "log_truncate_prefix": f"{_L} select * from log where seq > 500",
+        "log_matching": f"""{_L}, lead_ as (select seq, coalesce(lag(term) over (order by seq), 0) as prev_term from log where node_id = 1)
+            select n.node_id, case when l.seq = 1 then 'MATCH' when h.term is null then 'GAP' when h.term <> l.prev_term then 'CONFLICT' else 'MATCH' end as verdict, count(*) as entries, min(l.seq) as first_seq
+            from lead_ as l cross join (select distinct node_id from log where node_id <> 1) as n left join log as h on h.node_id = n.node_id and h.seq = l.seq - 1 group by 1, 2""",
+        "conflict_resolution": f"""{_L}, cuts as (select o.node_id, min(o.seq) as cut from log as o join log as l on l.node_id = 1 and l.seq = o.seq where o.node_id <> 1 and o.term <> l.term group by o.node_id)
+            select node_id, max(seq) as kept_through, count(*) as kept, max(cut) as first_divergence from log left join cuts using (node_id) where node_id <> 1 and (cut is null or seq < cut) group by node_id""",
+        "stale_terms": f"{_A} select msg_no, follower_id, term, seen from (select *, max(term) over (partition by follower_id order by msg_no rows between unbounded preceding and 1 preceding) as seen from acks) as x where term < seen",
+        "latest_acks": f"{_A} select * from latest",
+        "majority_commit": f"""{_A}, head as (select max(seq) as match_seq, max(term) as own_term from log where node_id = 1), points as (select match_seq from latest union all select match_seq from head),
+            ranked as (select coalesce((select match_seq from (select match_seq, row_number() over (order by match_seq desc) as r from points) as x where r = 3), 0) as candidate)
+            select candidate, term as candidate_term, own_term, case when candidate > 0 and term = own_term then candidate else 0 end as commit_seq from ranked cross join head left join (select seq, term from log where node_id = 1) as l on l.seq = candidate""",
+        "follower_commits": f"{_A} select follower_id, msg_no, max(least(last_applied, match_seq)) over (partition by follower_id order by msg_no) as commit_seq from acks",
+        "divergence_check": f"{_A} select last_applied, count(distinct state_checksum) as checksums, count(*) as reports from acks group by last_applied having count(distinct state_checksum) > 1",
+        "compacted_log": f"{_L} select node_id, count(*) as entries, min(seq) as first_seq from log where seq > 650 group by node_id",
+        "follower_lag": f"{_A} select follower_id, head - last_applied as apply_lag, head - match_seq as log_lag from latest, (select max(seq) as head from log where node_id = 1) as h",
+        "submit_status": "select event_id, case when event_id % 10 = 0 then 'NOT_PRIMARY' when event_id % 2 = 0 and event_id % 7 = 0 then 'NO_BACKUP' when event_id % 2 = 0 and cast(floor(value) as bigint) % 12 >= 8 then 'BUSY' when event_id % 11 = 0 then 'BUSY' else 'ACCEPTED' end as status from events",
+        "observed_terms": f"{_V} select arrival, voter_id, current_term from seen",
+        "vote_answers": f"{_V} select * from answers",
+        "vote_tally": f"{_V} select * from tally",
+        "first_vote_per_term": f"{_V} select voter_id, term, candidate_id, arrival from answers where answer = 'GRANTED' qualify row_number() over (partition by voter_id, term order by arrival) = 1",
+        "split_brain": f"{_V} select term, count(distinct leader) as leaders from leaders group by term having count(distinct leader) > 1",
+        "leaders_highest_term": f"{_V} select distinct term, leader from leaders where term = (select max(term) from leaders)",
+    }
