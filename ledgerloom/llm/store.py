@@ -1,33 +1,5 @@
-"""Tables written to the folder that the driver and all executors share."""
+"""Tables in the folder that all machines share, as in the rest of the library."""
 
-from __future__ import annotations
+from ledgerloom.store import new_path, release, shared_folder, written
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where that is unset, as in tests, a folder in the warehouse."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{found or spark.conf.get('spark.sql.warehouse.dir')}/ledgerloom/{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, computed once, written as Parquet and read again: this cuts lineage, and what reads the
-    result survives the loss of any executor."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all tables that this application has written. Results that still read them fail afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["new_path", "release", "shared_folder", "written"]
