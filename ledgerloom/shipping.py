@@ -1,4 +1,5 @@
-"""Ships this package to the executors, so that Python functions find it there whatever their own search path is."""
+"""Ships this package to the executors, so that Python functions find it there whatever their own search path is, and
+bounds the Arrow batches that they get."""
 
 from __future__ import annotations
 
@@ -10,9 +11,16 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch; Spark's own bound is several times that, which two workers of a small executor can't hold.
+BATCH_BYTES = 8 << 20
+
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package's sources to the application once; Spark's file server hands them to executors, later ones too."""
+    """Adds the package's sources to the application once; Spark's file server hands them to executors, later ones too.
+    In this session, larger Arrow batches than BATCH_BYTES are not made from now on."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -276,6 +276,8 @@ def read_frames(files: DataFrame) -> DataFrame:
     """The messages of captured byte streams: msg_no, kind, bytes and number of entries; a bad one has an error."""
 
     def one(data: bytes) -> Iterator[dict]:
+        from ledgerloom.sources.binary import FRAME_HEADER, MESSAGES, Damaged, Frames, decode_message
+
         frames = Frames()
         n = -1
         for n, (code, body) in enumerate(frames.add(data)):
