@@ -34,8 +34,8 @@ from ledgerloom.shipping import ship
 
 #: How many of the most frequent tokens are broadcast (16 bytes each) to be put last in the order of tokens.
 FREQUENT = 200_000
-#: A slice of texts reports tokens that it has so often.
-LOCAL = 3
+#: Documents that must share a token for it to count as frequent.
+CROWDED = 8
 #: The most buckets of keys that are broadcast (some 50 bytes each) to pick texts before they are shuffled.
 SIEVE = 1 << 19
 _BITS = 20
@@ -68,17 +68,20 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _frequent(docs: DataFrame, size: int) -> np.ndarray:
-    """The most frequent tokens, the least frequent of them first."""
+def _frequent(docs: DataFrame, size: int, percent: int) -> np.ndarray:
+    """The tokens that would fill most tiles, the least frequent of them first.
+
+    Counted are the first tokens by hash of all documents, twice as many as a prefix has: those that could come into a
+    prefix once more frequent ones are put last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             sets = shingle_sets(part.column("text"), size)
-            tokens, n = np.unique(np.concatenate(sets), return_counts=True)
-            often = n >= LOCAL
-            yield pa.record_batch([pa.array(tokens[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
+            tokens, n = np.unique(np.concatenate([s[: 2 * prefix_length(len(s), percent)] for s in sets]), return_counts=True)
+            yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-    counted = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "ngram-frequent")
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= CROWDED)
+    counted = written(counted, "ngram-frequent")
     # the least level of counts above which there are no more than FREQUENT tokens; levels are few
     level = F.floor(F.log2("n") * 8).cast("int")
     least, total = 10_000, 0
@@ -94,7 +97,7 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
 
 def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, tkey (a hash of the text), n (size of its set), digest, prefix, bits of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size, percent))
     schema = "doc_id long, tkey long, n long, digest binary, prefix array<long>, bits array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +220,16 @@ class Join:
         named = tiles.join(group, tiles["id"] == group["node"], "left").select("token", "id", "n", "band", "pos", F.coalesce("component", "id").alias("comp"))
         open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
         left = written(named.join(open_, "token", "left_semi"), "ngram-open")
-        small = left.select("token", "band", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "pos", "comp")])
-        large = left.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "comp")])
-        rest = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+        # the bitmaps' bound is part of the join's condition, so pairs beyond it are not made
+        left = left.join(self.sets.select("id", "bits"), "id")
+        cols = ("id", "n", "pos", "comp", "bits")
+        small = left.select("token", "band", *[F.col(c).alias(f"{c}1") for c in cols])
+        large = left.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), *[F.col(c).alias(f"{c}2") for c in cols])
+        n1, n2 = F.col("n1"), F.col("n2")
+        need = _need(n1, n2, percent)
         second = small.join(large, ["token", "band"]).filter(
-            (F.col("comp1") != F.col("comp2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("id1") < F.col("id2")))) & close(F.col("n1"), F.col("n2")) & (rest >= _need(F.col("n1"), F.col("n2"), percent))
+            (F.col("comp1") != F.col("comp2")) & ((n1 < n2) | ((n1 == n2) & (F.col("id1") < F.col("id2")))) & close(n1, n2)
+            & (F.least(n1 - F.col("pos1"), n2 - F.col("pos2")) >= need) & (_differ(F.col("bits1"), F.col("bits2")) <= n1 + n2 - 2 * need)
         ).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
         links = links.unionAll(self._verified(second, "ngram-second"))
         group = components(links)
