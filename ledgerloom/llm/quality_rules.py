@@ -78,7 +78,9 @@ def bucket(v: Column) -> Column:
 
 def fences(features: DataFrame, min_rows: int = 100) -> DataFrame:
     """For each language and source the fences of every rate: columns <rate>_lo and <rate>_hi."""
-    one = features.filter("n_words > 0").select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), v.alias("v")) for k, v in rates().items()])).alias("x"))
+    # a filter on counts, or one that Spark infers for explode(), would move below them and measure every text twice
+    listed = F.when(F.col("n_words") > 0, F.array(*[F.struct(F.lit(k).alias("rate"), v.alias("v")) for k, v in rates().items()]))
+    one = features.select("lang", "source", F.explode_outer(listed).alias("x")).filter("x is not null")
     sketch = one.groupBy("lang", "source", F.col("x.rate").alias("rate"), bucket(F.col("x.v")).alias("v")).agg(F.count("*").alias("n"))
 
     def quartiles(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,7 +114,8 @@ def judged(features: DataFrame, found: DataFrame) -> DataFrame:
         inside = inside & (v <= F.col(f"{k}_hi"))
         if MARGINS[k][1]:
             inside = inside & (v >= F.col(f"{k}_lo"))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("lang_", "source_")
+    # one expression over both sides: a conjunct on the counts alone would move below the join and measure texts again
+    return joined.withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(inside, F.lit(False)))).drop("lang_", "source_")
 
 
 def verdicts(docs: DataFrame, min_rows: int = 100) -> DataFrame:
