@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.llm.columns import ALNUM, Words, ngrams, text_slices
 from ledgerloom.shipping import ship
@@ -146,7 +147,8 @@ def _join(rows: DataFrame, index: list[Windows], names: list[str], text: bool) -
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((index, names))
     fields = [f for f in rows.schema.fields if text or f.name != "t"]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "n_words long", f"spans {SPANS}", "items array<string>"])
+    # the row's own type, not its text: its names may need quotes
+    schema = StructType(fields + StructType.fromDDL(f"n_words long, spans {SPANS}, items array<string>").fields)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

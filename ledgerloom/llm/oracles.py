@@ -1,5 +1,64 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express in reasonable time: quality rules, decontamination, n-gram join.
+
+The others need a tokenizer, a trained model, an automaton or patterns with lookaround; tests hold them against
+brute-force versions, round trips and held-out labels.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"'[^ \t\n\v\f\r]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+QUALITY = rf"""
+with t as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, {_SPACED}) as words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r]')) as lines from t),
+grams as (select rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as g from (select rid, words, unnest(range(1, len(words) - 1)) as i from w) as x),
+twice as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as k from grams) as x where k > 1),
+rep as (select rid, count(distinct p) as n from (select rid, unnest([i, i + 1, i + 2]) as p from twice) as x group by rid),
+f as (select w.rid, doc_id, lang, source, cast(len(words) as bigint) as n_words, length(regexp_replace(t, '[ \t\n\v\f\r]+', '', 'g')) as word_chars,
+  length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, cast(len(lines) as bigint) as n_lines
+  from w left join rep on rep.rid = w.rid),
+r as (select *, 1000 * n_symbols // greatest(word_chars, 1) as r1, 1000 * n_dup_lines // greatest(n_lines, 1) as r2, 1000 * n_repeat_words // greatest(n_words, 1) as r3, 100 * word_chars // greatest(n_words, 1) as r4 from f),
+u as (select lang, source, k, v from (select lang, source, unnest([1, 2, 3, 4]) as k, unnest([r1, r2, r3, r4]) as v from r where n_words > 0) as x),
+sketch as (select lang, source, k, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as v, count(*) as n from u group by all),
+cs as (select *, sum(n) over (partition by lang, source, k order by v) as upto, sum(n) over (partition by lang, source, k) as total from sketch),
+qs as (select lang, source, k, max(total) as total, min(v) filter (where 4 * upto >= total) as q1, min(v) filter (where 2 * upto >= total) as q2 from cs group by lang, source, k),
+ls as (select lang, k, v, sum(n) as n from sketch group by all),
+cl as (select *, sum(n) over (partition by lang, k order by v) as upto, sum(n) over (partition by lang, k) as total from ls),
+ql as (select lang, k, min(v) filter (where 4 * upto >= total) as q1, min(v) filter (where 2 * upto >= total) as q2 from cl group by lang, k),
+q as (select qs.lang, qs.source, qs.k, case when qs.total >= 100 then qs.q1 else ql.q1 end as q1, case when qs.total >= 100 then qs.q2 else ql.q2 end as q2 from qs join ql on qs.lang is not distinct from ql.lang and qs.k = ql.k),
+fence as (select lang, source, max(q2 + greatest(30, 6 * (q2 - q1))) filter (where k = 1) as h1, max(q2 + greatest(500, 6 * (q2 - q1))) filter (where k = 2) as h2,
+  max(q2 + greatest(400, 6 * (q2 - q1))) filter (where k = 3) as h3, max(q2 + greatest(200, 6 * (q2 - q1))) filter (where k = 4) as h4, max(q2 - greatest(200, 6 * (q2 - q1))) filter (where k = 4) as l4 from q group by lang, source),
+j as (select r.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce(r1 <= h1 and r2 <= h2 and r3 <= h3 and r4 <= h4 and r4 >= l4, false) as inside
+  from r left join fence on r.lang is not distinct from fence.lang and r.source is not distinct from fence.source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and inside as kept from j
+"""
+
+DECONTAMINATION = rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) as words from documents),
+b as (select item_id, regexp_extract_all({_LOWER}, {_ALNUM}) as words from benchmark),
+win as (select distinct item_id, size, array_to_string(words[i:i + size - 1], ' ') as w from (select item_id, words, size, unnest(range(1, len(words) - size + 2)) as i from (select *, least(len(words), 13) as size from b where len(words) > 0) as x) as y),
+sizes as (select distinct size from win),
+place as (select rid, size, i, array_to_string(words[i:i + size - 1], ' ') as w from (select rid, words, size, unnest(range(1, len(words) - size + 2)) as i from d cross join sizes where len(words) >= size) as x),
+hit as (select rid, item_id, win.size, i from place join win on win.size = place.size and win.w = place.w),
+covered as (select rid, count(distinct p) as n from (select rid, unnest(range(i, i + size)) as p from (select distinct rid, i, size from hit) as x) as y group by rid),
+items as (select rid, count(*) as n, string_agg(item, ',' order by item) as listed from (select distinct rid, cast(item_id as varchar) as item from hit) as x group by rid),
+r as (select d.doc_id, cast(len(words) as bigint) as n_words, coalesce(c.n, 0) as n_hit, coalesce(i.n, 0) as n_items, sha256(coalesce(i.listed, '')) as items_sha256 from d left join covered as c on c.rid = d.rid left join items as i on i.rid = d.rid)
+select *, n_hit > 0 and 20 * n_hit >= n_words as contaminated from r
+"""
+
+NGRAM_JOIN = rf"""
+with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWER}, {_SPACED}) as words from documents),
+s as (select distinct rid, case when len(words) < 4 then array_to_string(words, ' ') else array_to_string(words[i:i + 3], ' ') end as g
+  from (select rid, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as i from d where len(words) > 0) as x),
+sized as (select *, count(*) over (partition by rid) as n from s),
+pairs as (select a.rid as a, b.rid as b, count(*) as k, any_value(a.n) as na, any_value(b.n) as nb from sized as a join sized as b on a.g = b.g and a.rid < b.rid where 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by a.rid, b.rid),
+links as (select a, b from pairs where 100 * k >= 85 * (na + nb - k)),
+sides as (select a, b from links union all select b, a from links),
+reach(rid, other) as (select rid, rid from d union select reach.rid, sides.b from reach join sides on sides.a = reach.other),
+least_id as (select reach.rid, min(d.doc_id) as component_id from reach join d on d.rid = reach.other group by reach.rid)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, l.component_id from d join least_id as l on l.rid = d.rid left join (select rid, count(*) as n from s group by rid) as n on n.rid = d.rid
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": QUALITY, "op4_decontamination": DECONTAMINATION, "op9_ngram_join": NGRAM_JOIN}

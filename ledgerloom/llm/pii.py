@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.llm.boosting import Calibration, Trees
 from ledgerloom.llm.columns import buffers, text_slices
@@ -280,7 +281,8 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                 spans[d] = [{"kind": k, "start": s, "end": e, "score": 1.0} for k, s, e in base] + [{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in m.select(text, base)]
             yield pa.record_batch([part.column("row_"), *([texts] if with_text else []), pa.array(spans, span)], names=["row_", *(["text_"] if with_text else []), "pii_"])
 
-    schema = f"row_ {rows.schema['row_'].dataType.simpleString()}, {'text_ string, ' if with_text else ''}pii_ {SPANS}"
+    # the row's own type, not its text: its names may need quotes
+    schema = StructType([f for f in rows.schema.fields if f.name == "row_" or with_text] + StructType.fromDDL(f"pii_ {SPANS}").fields)
     out = rows.mapInArrow(run, schema)
     return out.select(*[(F.col("text_") if c == "text" else F.col(f"row_.`{c}`")).alias(c) for c in keep], "pii_")
 
@@ -291,7 +293,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     found = find(docs, tuple(docs.columns))
     spans = F.sort_array(F.transform("pii_", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    return found.withColumn("text", let(spans, lambda s: cut(F.col("text"), s, "[PII]"))).select(*docs.columns)
+    return found.withColumn("text", let(spans, lambda s: cut(F.col("text"), s, "[PII]"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def summary(docs: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def redact(docs: DataFrame, reach: int = 200, mark: str = "[SECRET]") -> DataFra
     changed = docs.withColumn("text", new)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("text").isNull(), docs["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def summary(docs: DataFrame, reach: int = 200) -> DataFrame:
