@@ -56,13 +56,34 @@ def checked(parsed: DataFrame) -> DataFrame:
     return parsed.drop("error")
 
 
-def read_orders(spark: SparkSession, path: str, instrument: int = 1) -> DataFrame:
-    """Commands of an order file, in file order, for one instrument."""
-    rows = checked(parsed_lines(lines(spark, path)))
+def _commands(rows: DataFrame, instrument: int) -> DataFrame:
     book = F.lit(instrument).cast("long")
     return rows.select(book.alias("book"), F.row_number().over(W.partitionBy("file").orderBy("line_no")).cast("long").alias("seq"), "kind", "id", F.when(F.col("kind") == "N", book).alias("instrument"), "side", "type", "tif", "price", "quantity")
 
 
+def read_orders(spark: SparkSession, path: str, instrument: int = 1) -> DataFrame:
+    """Commands of an order file, in file order, for one instrument."""
+    return _commands(checked(parsed_lines(lines(spark, path))), instrument)
+
+
+def from_lines(spark: SparkSession, source, instrument: int = 1) -> DataFrame:
+    """Commands of lines that the driver has, such as standard input."""
+    rows = [("-", k, line.rstrip("\n")) for k, line in enumerate(source, 1)]
+    return _commands(checked(parsed_lines(spark.createDataFrame(rows, "file string, line_no long, value string"))), instrument)
+
+
+def generated(spark: SparkSession, seed: int, n: int, book: int = 1) -> DataFrame:
+    """The generator's stream of n commands for one book; it is sequential, so the driver makes it."""
+    from ledgerloom.operators import fold
+    from ledgerloom.operators.matching import COMMANDS
+
+    rows = []
+    for k, c in enumerate(fold.generated(seed, n), 1):
+        new = (book, codes.SIDES[c[1]], codes.TYPES[c[2]], codes.TIFS[c[3]], c[4], c[5]) if len(c) > 1 else (None,) * 6
+        rows.append((book, k, "N" if len(c) > 1 else "C", c[0], *new))
+    return spark.createDataFrame(rows, COMMANDS)
+
+
 def order_line() -> Column:
     """The line of a command."""
     c = F.col

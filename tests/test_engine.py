@@ -353,3 +353,81 @@ def test_entry_point(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def cluster(seed: int, nodes: int, until: int, loss: float, crashes: bool):
+    """A cluster of Member folds with lossy, slow links; returns (term, leader) claims and the inbox of each node."""
+    import heapq
+
+    rnd = fold.Lcg(seed)
+    members = {k: election.Member(k, [n for n in range(1, nodes + 1) if n != k], seed * 1000 + k) for k in range(1, nodes + 1)}
+    queue, claims, inbox, n, down = [], [], [], 0, {}
+    reply = {"REQUEST_VOTE": "REQUEST_VOTE", "VOTE": "VOTE", "HEARTBEAT": "APPEND"}
+    for at in range(0, until, 10):
+        for k in members:
+            n += 1
+            heapq.heappush(queue, (at, n, k, ("TICK", None, None, None, None)))
+        if crashes and rnd.within(0, 99) < 2:
+            down[rnd.within(1, nodes)] = at + rnd.within(100, 800)
+        while queue and queue[0][0] <= at:
+            now, _, k, message = heapq.heappop(queue)
+            if down.get(k, 0) > now:
+                continue
+            inbox.append((k, len(inbox), now, *message))
+            for kind, to, term, log_seq, granted in members[k].step(now, *message):
+                if kind == "BECAME_LEADER":
+                    claims.append((term, k))
+                elif kind in reply and rnd.within(0, 999) >= loss * 1000:
+                    n += 1
+                    heapq.heappush(queue, (now + rnd.within(1, 40), n, to, (reply[kind], term, k, granted, log_seq)))
+    return claims, inbox
+
+
+@pytest.mark.parametrize("seed", range(1, 26))
+def test_no_term_has_two_leaders(seed):
+    nodes = (3, 5, 7)[seed % 3]
+    claims, _ = cluster(seed, nodes, 6000, 0.2 * (seed % 2), crashes=seed % 4 > 1)
+    assert claims and len({t for t, _ in claims}) == len({*claims})
+
+
+def test_members_in_spark_are_members_alone(spark):
+    claims, inbox = cluster(4, 5, 3000, 0.1, crashes=True)
+    rows = spark.createDataFrame(inbox, "node_id long, ordinal long, at long, kind string, term long, peer long, granted boolean, log_seq long")
+    got = election.actions(rows, [1, 2, 3, 4, 5], seed=4)
+    leaders = got.filter("action = 'BECAME_LEADER'").select("term", F.col("node_id").alias("leader"))
+    assert sorted(tuple(r) for r in leaders.collect()) == sorted(claims) and election.split_brain(leaders).count() == 0
+
+
+def test_rules_of_an_election():
+    m = election.Member(1, [2, 3], 9)
+    assert m.step(10, "TICK") == [] and m.step(301, "TICK") == [("REQUEST_VOTE", 2, 1, 0, None), ("REQUEST_VOTE", 3, 1, 0, None)]
+    assert m.step(302, "VOTE", 1, 2, False, None) == [] and m.role == "CANDIDATE"
+    assert m.step(303, "VOTE", 1, 2, True, None)[0][0] == "BECAME_LEADER" and m.step(304, "VOTE", 1, 3, True, None) == []
+    assert m.step(340, "TICK") == [] and len(m.step(353, "TICK")) == 2  # heartbeats
+    assert m.step(360, "APPEND", 0, 2, None, None) == [] and m.role == "LEADER"
+    assert m.step(361, "APPEND_RESPONSE", 4, 2, None, None) == [("STEPPED_DOWN", 1, 4, None, None)]
+    assert m.step(362, "REQUEST_VOTE", 4, 2, None, 0) == [("VOTE", 2, 4, None, True)] and m.step(363, "REQUEST_VOTE", 4, 3, None, 9) == [("VOTE", 3, 4, None, False)]
+    m.step(364, "LOG", None, None, None, 7)
+    assert m.step(365, "REQUEST_VOTE", 5, 3, None, 6) == [("VOTE", 3, 5, None, False)] and m.term == 5 and m.vote is None
+    assert m.step(366, "REQUEST_VOTE", 4, 3, None, 9) == [("VOTE", 3, 5, None, False)]
+    m.step(367, "RESET")
+    assert (m.term, m.vote, m.role) == (0, None, "FOLLOWER")
+    assert election.Member(1, [], 1).step(400, "TICK")[0][0] == "BECAME_LEADER"
+
+
+def test_command_line(spark, sample, capsys, monkeypatch, tmp_path):
+    import io
+
+    assert replay.main([sample]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0].startswith("seq=1 cmd=1 ACCEPTED") and "  100 x5 (1 orders)" in out and out[-5:-2] == ["commands=17", "events=49", f"event_hash={golden.SAMPLE_HASHES[0]}"]
+    monkeypatch.setattr("sys.stdin", io.StringIO("N 1 BUY LIMIT GTC 100 1\n"))
+    assert replay.main(["--quiet", "--instrument", "7", "-"]) == 0 and len(capsys.readouterr().out.splitlines()) == 5
+    (tmp_path / "bad").write_text("X 1")
+    assert replay.main([str(tmp_path / "bad")]) == 1 and "line 1: unknown command: X" in capsys.readouterr().err
+    assert replay.main([]) == 2
+
+
+def test_generated_commands(spark):
+    got = matching.snapshots(orders.generated(spark, 77, 500), hashed=True).first()
+    assert int(got.event_hash) == fold.hash_events(fold.run(fold.BookFold(1), fold.generated(77, 500)))
