@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; per-byte temporaries take about 40 times that.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

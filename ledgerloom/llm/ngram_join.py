@@ -10,8 +10,8 @@ intersecting sorted arrays.
 
 A large group of near copies has a pair for every two members, so tiles are worked in two rounds. First every set is
 paired with one pivot of its tile only, and the links that are found are closed to groups. The second round pairs only
-sets of a tile that are still in different groups, all of them; a tile that lies in one group drops out by a partial
-aggregate. Every link is thus either verified or joins sets that other links already connect: groups are exact.
+sets of a tile that are still in different groups, all of them; a tile that lies in one group, or has two sets, drops out
+by a partial aggregate. Every link is thus either verified or joins sets that other links already connect: groups are exact.
 
 A document without words, or without a text, is linked with nothing. Repeated doc_ids are rows of their own, and a
 null doc_id counts as larger than any other. An empty table gives no rows. Extra columns are ignored, or kept by keep_one().
@@ -34,6 +34,8 @@ from ledgerloom.shipping import ship
 
 #: How many of the most frequent tokens are broadcast (16 bytes each) to be put last in the order of tokens.
 FREQUENT = 200_000
+#: The first tokens of a prefix that tell whether an earlier one has made a pair.
+HEAD = 8
 #: Documents that must share a token for it to count as frequent.
 CROWDED = 8
 #: The most buckets of keys that are broadcast (some 50 bytes each) to pick texts before they are shuffled.
@@ -218,18 +220,21 @@ class Join:
         links = self._verified(first, "ngram-first")
         group = components(links)
         named = tiles.join(group, tiles["id"] == group["node"], "left").select("token", "id", "n", "band", "pos", F.coalesce("component", "id").alias("comp"))
-        open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+        # of two sets one is the other's pivot, so a tile with no more than two is done
+        open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi and k > 2").select("token")
         left = written(named.join(open_, "token", "left_semi"), "ngram-open")
-        # the bitmaps' bound is part of the join's condition, so pairs beyond it are not made
-        left = left.join(self.sets.select("id", "bits"), "id")
-        cols = ("id", "n", "pos", "comp", "bits")
+        # the bitmaps' bound is part of the join's condition, so pairs beyond it are not made; nor is a pair that a
+        # token earlier in both orders makes: the first tokens of a prefix tell
+        head = F.slice("prefix", F.lit(1), F.least(F.col("pos"), F.lit(HEAD)))
+        left = left.join(self.sets.select("id", "bits", "prefix"), "id").withColumn("head", head).drop("prefix")
+        cols = ("id", "n", "pos", "comp", "bits", "head")
         small = left.select("token", "band", *[F.col(c).alias(f"{c}1") for c in cols])
         large = left.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), *[F.col(c).alias(f"{c}2") for c in cols])
         n1, n2 = F.col("n1"), F.col("n2")
         need = _need(n1, n2, percent)
         second = small.join(large, ["token", "band"]).filter(
             (F.col("comp1") != F.col("comp2")) & ((n1 < n2) | ((n1 == n2) & (F.col("id1") < F.col("id2")))) & close(n1, n2)
-            & (F.least(n1 - F.col("pos1"), n2 - F.col("pos2")) >= need) & (_differ(F.col("bits1"), F.col("bits2")) <= n1 + n2 - 2 * need)
+            & (F.least(n1 - F.col("pos1"), n2 - F.col("pos2")) >= need) & ~F.arrays_overlap("head1", "head2") & (_differ(F.col("bits1"), F.col("bits2")) <= n1 + n2 - 2 * need)
         ).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
         links = links.unionAll(self._verified(second, "ngram-second"))
         group = components(links)
