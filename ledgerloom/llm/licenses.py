@@ -116,9 +116,10 @@ class Scanner:
         pairs = {tuple(s[k : k + 2]) for s in [*self.tokens, *(p for _, p in self.phrases)] for k in range(len(s) - 1)}
         w = Words(pa.array([" ".join(p) for p in sorted(pairs)]), ALNUM)
         self.pairs = Sieve(ngrams(w.hashes(), w.first, 2)[0])
-        # a state's phrases: those whose own state lies on its chain of suffix links
+        # a state's phrases and whole templates: those whose own state lies on its chain of suffix links
+        self.wholes = [*(p for _, p in self.phrases), *self.tokens]
         own: dict[int, list[int]] = {}
-        for k, (_, p) in enumerate(self.phrases):
+        for k, p in enumerate(self.wholes):
             own.setdefault(a.follow(p)[-1][0], []).append(k)
         self.ending: dict[int, list[int]] = {}
         for s in range(1, len(a.size)):
@@ -129,18 +130,21 @@ class Scanner:
             if found:
                 self.ending[s] = found
 
-    def stretch(self, tokens: list[str], first: int, places: list, matches: list) -> None:
-        """Adds the phrases' places (label, first word) and the longest matches (first word, last word, state)."""
+    def stretch(self, tokens: list[str], first: int, places: list, whole: dict, matches: list) -> None:
+        """Adds the phrases' places (label, first word), the last place of whole templates, which may lie within longer
+        matches of others, and the longest matches (first word, last word, state)."""
         stats = self.automaton.follow(tokens)
         for k, (state, n) in enumerate(stats):
             for p in self.ending.get(state, ()):
-                size = len(self.phrases[p][1])
-                if n >= size:
+                size = len(self.wholes[p])
+                if n >= size and p < len(self.phrases):
                     places.append((self.phrases[p][0], first + k - size + 1))
+                elif n >= size:
+                    whole[p - len(self.phrases)] = (first + k - size + 1, first + k)
             if n >= self.least and (k + 1 == len(stats) or stats[k + 1][1] <= n):
                 matches.append((first + k - n + 1, first + k, state))
 
-    def chains(self, matches: list) -> list[tuple[str, int, int, float]]:
+    def chains(self, matches: list, whole: dict) -> list[tuple[str, int, int, float]]:
         """(label, first word, last word, share covered) of the best chain of each template that covers enough."""
         best: dict[int, list[tuple[int, int, int, int]]] = {}
         for a, b, state in matches:  # in the order of b
@@ -156,8 +160,10 @@ class Scanner:
                         if fresh > 0 and ps + fresh > score:
                             score, start = ps + fresh, pstart
                 best.setdefault(t, []).append((b, e, score, start))
-        out = []
+        out = [(self.labels[t], a, b, 1.0) for t, (a, b) in whole.items()]
         for t, ends in best.items():
+            if t in whole:
+                continue
             b, _, score, start = max(ends, key=lambda x: (x[2], -x[0]))
             if score >= self.share * len(self.tokens[t]):
                 out.append((self.labels[t], start, b, min(1.0, score / len(self.tokens[t]))))
@@ -180,14 +186,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
             hit = at[s.pairs.find(grams)[0]]
             places: list[list] = [[] for _ in range(w.n)]
             matches: list[list] = [[] for _ in range(w.n)]
+            wholes: list[dict] = [{} for _ in range(w.n)]
             if len(hit):
                 owner = np.searchsorted(w.first, hit, "right") - 1
                 cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(owner) > 0)) + 1
                 for a, b, d in zip(hit[np.concatenate([[0], cut])].tolist(), hit[np.concatenate([cut - 1, [len(hit) - 1]])].tolist(), owner[np.concatenate([[0], cut])].tolist(), strict=True):
                     tokens = [w.data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(w.starts[a : b + 2].tolist(), w.ends[a : b + 2].tolist(), strict=True)]
-                    s.stretch(tokens, a - int(w.first[d]), places[d], matches[d])
+                    s.stretch(tokens, a - int(w.first[d]), places[d], wholes[d], matches[d])
             yield pa.record_batch(
-                [part.column("doc_id"), pa.array(w.counts.astype(np.int64)), pa.array([[{"label": x, "word": k} for x, k in p] for p in places], place), pa.array([[dict(zip(("label", "first", "last", "share"), c, strict=True)) for c in (s.chains(m) if m else [])] for m in matches], span)],
+                [part.column("doc_id"), pa.array(w.counts.astype(np.int64)), pa.array([[{"label": x, "word": k} for x, k in p] for p in places], place), pa.array([[dict(zip(("label", "first", "last", "share"), c, strict=True)) for c in (s.chains(m, x) if m or x else [])] for m, x in zip(matches, wholes, strict=True)], span)],
                 names=["doc_id", "n_words", "places", "spans"],
             )
 
