@@ -1,8 +1,7 @@
 """Registry of the engine's own queries and of their DuckDB SQL.
 
 Queries named in INVARIANTS return violations and so nothing; their SQL is that constant, which checks no value.
-Queries without SQL need the sequential fold; tests hold them against pinned streams and against the book that is rebuilt
-from events.
+The fold has SQL of its own (plans/fold_sql.py), a recursive query.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import codes
 from ledgerloom.operators import election, log, matching, replication, views
-from ledgerloom.plans import derive, invariants, replay
+from ledgerloom.plans import derive, fold_sql, invariants, replay
 from ledgerloom.sources import binary, orders
 from ledgerloom.store import new_path, written
 
@@ -172,7 +171,8 @@ def final_book(spark: SparkSession, d: str) -> DataFrame:
 
 
 def checksums(spark: SparkSession, d: str) -> DataFrame:
-    return replay.summary(derive.commands(spark, d))
+    """64-bit values as text, as other engines' decimals differ."""
+    return replay.summary(derive.commands(spark, d)).withColumns({c: F.col(c).cast("string") for c in ("event_hash", "book_checksum", "state_checksum")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -252,7 +252,7 @@ leaders as (select term, candidate_id as leader from tally where votes >= 2)"""
 def oracle_sql() -> dict[str, str]:
     empty = {k: "select " + ", ".join(f"cast(0 as bigint) as {c}" for c in cols.split()) + " where false" for k, cols in INVARIANTS.items()}
     names = "case event_id % 9 when 0 then 'NONE' when 1 then 'DUPLICATE_ORDER_ID' when 2 then 'UNKNOWN_ORDER_ID' when 3 then 'ZERO_QUANTITY' when 4 then 'NON_POSITIVE_PRICE' when 5 then 'WRONG_INSTRUMENT' when 6 then 'MARKET_ORDER_MUST_BE_IOC' else '?' end"
-    return empty | {
+    return empty | fold_sql.SQL | {
         "derived_commands": derive.COMMANDS_SQL,
         "parse_orders": f"{_C} select book, seq, kind, id, side, type, tif, price, quantity from commands",
         "wal_roundtrip": f"{_C} select book, seq, cast(floor((seq - 1) / 100) as bigint) + 1 as term, kind, id, instrument, side, type, tif, price, quantity from commands",
