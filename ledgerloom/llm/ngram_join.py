@@ -64,8 +64,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parities of how many tokens fall on each of 64 to 4096 bits, as 64-bit words."""
-    width = min(4096, max(64, 1 << (max(len(s), 1) - 1).bit_length()))
+    """Parities of how many tokens fall on each of 64 to 8192 bits, as 64-bit words."""
+    width = min(8192, max(64, 1 << (max(2 * len(s), 1) - 1).bit_length()))
     odd = np.bincount(((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -195,7 +195,7 @@ class Join:
         na, nb = F.col("na"), F.col("nb")
         bounded = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(_differ(F.col("bitsa"), F.col("bitsb")) <= na + nb - 2 * _need(na, nb, percent)).select("a", "b")
         bounded = written(bounded, f"{name}-pairs")
-        shingles = self._shingles(bounded.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        shingles = self._shingles(bounded.select(F.col("a").alias("id")).distinct().unionAll(bounded.select(F.col("b").alias("id")).distinct()).distinct())
         of = lambda s: shingles.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
