@@ -9,7 +9,9 @@ a chunk. Distinct chunks of a slice come from Arrow's dictionary encoding; a wor
 
 from __future__ import annotations
 
+import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,9 @@ from ledgerloom.llm.columns import buffers
 #: Bytes of text that are cut and encoded at once; the most chunks that a worker keeps.
 SLICE_BYTES, KEPT = 8 << 20, 1_000_000
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+_LOWER[0x0A] = 0x20
 _SOLID = np.zeros(256, bool)
 _SOLID[0x21:0x7F] = _SOLID[0x80:] = True
 #: First bytes of characters among which there is white space outside ASCII: U+0085, U+00A0, U+1680, U+2000 and on, U+3000.
@@ -55,6 +60,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a tokenizer that lowers its input and drops white space has the same ids for these, and fewer chunks
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
         self._forget()
 
     def _forget(self) -> None:
@@ -72,7 +79,7 @@ class Encoder:
         if n + len(ids) > len(self.size):
             more = np.zeros(n + 2 * len(ids), np.int64)
             self.begin, self.size = np.concatenate([self.begin[:n], more]), np.concatenate([self.size[:n], more])
-        self.flat[self.used : self.used + k] = np.fromiter((x for e in ids for x in e), np.uint32, k)
+        self.flat[self.used : self.used + k] = np.fromiter(chain.from_iterable(ids), np.uint32, k)
         self.size[n : n + len(ids)] = sizes
         self.begin[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.used += k
@@ -82,15 +89,19 @@ class Encoder:
         data, offsets = buffers(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        if self.lowers and b"<|" not in data.tobytes():  # special tokens are matched as they stand
+            data = _LOWER[data]
         edges = cuts(data, offsets)
-        chunks = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+        chunks = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
-        words = [x.decode() for x in coded.dictionary.to_pylist()]
+        words = coded.dictionary.to_pylist()
         if len(self.slots) + len(words) > KEPT:
             self._forget()
-        if new := [w for w in words if w not in self.slots]:
-            self._learn(new)
-        slot = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        known = np.array(list(map(self.slots.get, words)), float)  # None becomes nan
+        if len(new := np.flatnonzero(np.isnan(known))):
+            known[new] = len(self.slots) + np.arange(len(new))
+            self._learn([words[k] for k in new.tolist()])
+        slot = known.astype(np.int64)[coded.indices.to_numpy()]
         size = self.size[slot]
         ends = np.cumsum(size)
         out = self.flat[np.repeat(self.begin[slot] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
