@@ -6,7 +6,7 @@ contained in a document that has each of its shingles, so its prefix is a single
 is joined. A match says where the window would begin: bounds on that place and on the length left in the document drop
 the rest, and what remains is verified word by word and byte by byte.
 
-The items are taken in blocks of at most `block_bytes` of text, so what the driver collects and broadcasts is bounded;
+The items are taken in blocks of at most `block_bytes` of text (an index takes some 40 times that), so what the driver collects and broadcasts is bounded;
 each block is joined with all documents, in two passes over the texts (rarity, join) without a shuffle of texts. Hot
 sources and groups of copies are just rows.
 
@@ -179,7 +179,7 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")), step, lambda acc: acc["n"])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, window: int = 13, shingle: int = 5, block_bytes: int = 32 << 20) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, window: int = 13, shingle: int = 5, block_bytes: int = 4 << 20) -> DataFrame:
     """Every document: `row_` (a struct of the columns in carry, by default doc_id), `text_` if text is among them,
     n_words, spans, items, n_hit, contaminated."""
     ship(docs.sparkSession)

@@ -195,6 +195,8 @@ class Join:
         na, nb = F.col("na"), F.col("nb")
         bounded = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(_differ(F.col("bitsa"), F.col("bitsb")) <= na + nb - 2 * _need(na, nb, percent)).select("a", "b")
         bounded = written(bounded, f"{name}-pairs")
+        if not bounded.take(1):
+            return bounded
         shingles = self._shingles(bounded.select(F.col("a").alias("id")).distinct().unionAll(bounded.select(F.col("b").alias("id")).distinct()).distinct())
         of = lambda s: shingles.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}"))
 

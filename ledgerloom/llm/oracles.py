@@ -29,7 +29,7 @@ cl as (select *, sum(n) over (partition by lang, k order by v) as upto, sum(n) o
 ql as (select lang, k, min(v) filter (where 4 * upto >= total) as q1, min(v) filter (where 2 * upto >= total) as q2 from cl group by lang, k),
 q as (select qs.lang, qs.source, qs.k, case when qs.total >= 100 then qs.q1 else ql.q1 end as q1, case when qs.total >= 100 then qs.q2 else ql.q2 end as q2 from qs join ql on qs.lang is not distinct from ql.lang and qs.k = ql.k),
 fence as (select lang, source, max(q2 + greatest(30, 6 * (q2 - q1))) filter (where k = 1) as h1, max(q2 + greatest(500, 6 * (q2 - q1))) filter (where k = 2) as h2,
-  max(q2 + greatest(400, 6 * (q2 - q1))) filter (where k = 3) as h3, max(q2 + greatest(200, 6 * (q2 - q1))) filter (where k = 4) as h4, max(q2 - greatest(200, 6 * (q2 - q1))) filter (where k = 4) as l4 from q group by lang, source),
+  max(q2 + greatest(480, 6 * (q2 - q1))) filter (where k = 3) as h3, max(q2 + greatest(200, 6 * (q2 - q1))) filter (where k = 4) as h4, max(q2 - greatest(200, 6 * (q2 - q1))) filter (where k = 4) as l4 from q group by lang, source),
 j as (select r.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce(r1 <= h1 and r2 <= h2 and r3 <= h3 and r4 <= h4 and r4 >= l4, false) as inside
   from r left join fence on r.lang is not distinct from fence.lang and r.source is not distinct from fence.source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and inside as kept from j

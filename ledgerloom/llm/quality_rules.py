@@ -22,7 +22,7 @@ from ledgerloom.llm.store import written
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: rate: least distance of the fences from the median, and whether there is a lower fence.
-MARGINS = {"symbols": (30, False), "dup_lines": (500, False), "repeats": (400, False), "word_length": (200, True)}
+MARGINS = {"symbols": (30, False), "dup_lines": (500, False), "repeats": (480, False), "word_length": (200, True)}
 #: Fences stand at least so many times the distance from the lower quartile to the median away.
 SPREAD = 6
 #: The most rows of fences that are broadcast (about 100 bytes each).
