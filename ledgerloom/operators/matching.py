@@ -49,7 +49,10 @@ def ordered(commands: DataFrame, initial: DataFrame | None = None) -> DataFrame:
         side = F.transform("orders", lambda o: F.struct(o["id"].alias("id"), codes.code_of(o["side"], codes.SIDES).cast("long").alias("side"), o["price"].alias("price"), o["quantity"].alias("quantity"), o["arrival"].alias("arrival")))
         first = initial.select("book", F.lit(-1).cast("long").alias("seq"), F.struct("last_seq", "instrument", "command_seq", "event_seq", "arrivals", F.col("last_top").alias("top"), side.alias("orders"), "event_hash").cast(state).alias("state"))
         rows = rows.unionByName(first, allowMissingColumns=True)
-    return rows.repartition("book").sortWithinPartitions("book", "seq")
+    # a number of its own, or Spark would merge small partitions and fold many books in one task; more than there are
+    # cores, so that books that share a partition by their hash delay few others
+    n = max(int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * commands.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(n, "book").sortWithinPartitions("book", "seq")
 
 
 def _folds(batches: Iterator[pa.RecordBatch], hashed: bool) -> Iterator[tuple[int, BookFold, list, int, int | None, bool]]:
