@@ -124,3 +124,17 @@ SQL = {
     "final_book": f"with {EVENTS} select * from resting_",
     "final_depth": f"with {EVENTS} select book, side, price, cast(sum(quantity) as bigint) as quantity, count(*) as orders from resting_ group by all",
 }
+
+#: What streams and books must satisfy, evaluated on this fold's own events and books; the results are empty.
+VIOLATIONS = {
+    "conservation": f"""with {EVENTS}, flows as (select book, coalesce(sum(quantity) filter (where event_type = 'ACCEPTED'), 0) as accepted, coalesce(sum(quantity) filter (where event_type = 'TRADE'), 0) as traded,
+        coalesce(sum(quantity) filter (where event_type = 'CANCELLED'), 0) as cancelled from events_ group by book), rest as (select book, sum(quantity) as resting from resting_ group by book)
+        select f.book from flows as f left join rest as r on r.book = f.book where accepted <> 2 * traded + cancelled + coalesce(resting, 0)""",
+    "uncrossed_book": f"with {EVENTS} select book from resting_ group by book having max(price) filter (where side = 'BUY') >= min(price) filter (where side = 'SELL')",
+    "queue_order": f"with {EVENTS} select book, id from resting_ qualify quantity <= 0 or arrival <= lag(arrival) over (partition by book, side, price order by queue_pos)",
+    "trade_within_limit": f"""with {EVENTS} select e.book, e.event_seq from events_ as e join commands as c on c.book = e.book and c.seq = e.command_seq
+        where e.event_type = 'TRADE' and c.kind = 'N' and c.type = 'LIMIT' and ((c.side = 'BUY' and e.price > c.price) or (c.side = 'SELL' and e.price < c.price))""",
+    "gapless_events": f"with {EVENTS} select book, event_seq from events_ qualify event_seq <> coalesce(lag(event_seq) over (partition by book order by event_seq), 0) + 1",
+    "silent_commands": f"with {EVENTS} select c.book, c.seq as command_seq from commands as c where not exists (select 1 from events_ as e where e.book = c.book and e.command_seq = c.seq)",
+    "late_tops": f"with {EVENTS} select book, event_seq from events_ qualify event_type = 'TOB' and lead(event_seq) over (partition by book, command_seq order by event_seq) is not null",
+}

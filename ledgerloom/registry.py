@@ -1,6 +1,5 @@
 """Registry of the engine's own queries and of their DuckDB SQL.
 
-Queries named in INVARIANTS return violations and so nothing; their SQL is that constant, which checks no value.
 The fold has SQL of its own (plans/fold_sql.py), a recursive query.
 """
 
@@ -230,11 +229,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-#: Queries whose result is empty by an invariant, and the columns of their SQL.
-INVARIANTS = {
-    "snapshot_roundtrip": "book", "prefix_replay": "book event_seq", "recovery_as_of": "book", "book_from_events": "book id", "stream_matches_batch": "book event_seq",
-    "conservation": "book", "uncrossed_book": "book", "queue_order": "book id", "trade_within_limit": "book event_seq", "gapless_events": "book event_seq", "silent_commands": "book command_seq", "late_tops": "book event_seq",
-}
+#: Queries that compare two of our own results and so return nothing, and the columns of their SQL: it checks no value.
+INVARIANTS = {"snapshot_roundtrip": "book", "prefix_replay": "book event_seq", "recovery_as_of": "book", "book_from_events": "book id", "stream_matches_batch": "book event_seq"}
 
 _REASON = "case when kind = 'C' then null when instrument <> book then 'WRONG_INSTRUMENT' when quantity = 0 then 'ZERO_QUANTITY' when type = 'LIMIT' and price <= 0 then 'NON_POSITIVE_PRICE' when type = 'MARKET' and tif <> 'IOC' then 'MARKET_ORDER_MUST_BE_IOC' else 'NONE' end"
 _C = f"with commands as ({derive.COMMANDS_SQL}), valid as (select * from commands where {_REASON} = 'NONE'), resting as (select book, side, price, id, quantity, seq as arrival from valid where type = 'LIMIT' and tif = 'GTC'), levels as (select book, side, price, cast(sum(quantity) as bigint) as quantity, count(*) as orders from resting group by all)"
@@ -252,7 +248,7 @@ leaders as (select term, candidate_id as leader from tally where votes >= 2)"""
 def oracle_sql() -> dict[str, str]:
     empty = {k: "select " + ", ".join(f"cast(0 as bigint) as {c}" for c in cols.split()) + " where false" for k, cols in INVARIANTS.items()}
     names = "case event_id % 9 when 0 then 'NONE' when 1 then 'DUPLICATE_ORDER_ID' when 2 then 'UNKNOWN_ORDER_ID' when 3 then 'ZERO_QUANTITY' when 4 then 'NON_POSITIVE_PRICE' when 5 then 'WRONG_INSTRUMENT' when 6 then 'MARKET_ORDER_MUST_BE_IOC' else '?' end"
-    return empty | fold_sql.SQL | {
+    return empty | fold_sql.SQL | fold_sql.VIOLATIONS | {
         "derived_commands": derive.COMMANDS_SQL,
         "parse_orders": f"{_C} select book, seq, kind, id, side, type, tif, price, quantity from commands",
         "wal_roundtrip": f"{_C} select book, seq, cast(floor((seq - 1) / 100) as bigint) + 1 as term, kind, id, instrument, side, type, tif, price, quantity from commands",
