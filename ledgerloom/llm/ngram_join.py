@@ -37,6 +37,8 @@ from ledgerloom.shipping import ship
 FREQUENT = 200_000
 #: The first tokens of a set in the second round that tell whether an earlier one has made a pair.
 HEAD = 4
+#: Columns of bitmaps folded to 512 bits.
+FOLDED = tuple(f"q{k}" for k in range(8))
 #: Documents that must share a token for it to count as frequent.
 CROWDED = 8
 #: The most buckets of keys that are broadcast (some 50 bytes each) to pick texts before they are shuffled.
@@ -65,8 +67,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parities of how many tokens fall on each of 256 to 8192 bits, as 64-bit words."""
-    width = min(8192, max(256, 1 << (max(2 * len(s), 1) - 1).bit_length()))
+    """Parities of how many tokens fall on each of 512 to 8192 bits, as 64-bit words."""
+    width = min(8192, max(512, 1 << (max(2 * len(s), 1) - 1).bit_length()))
     odd = np.bincount(((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -99,10 +101,10 @@ def _frequent(docs: DataFrame, size: int, percent: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, tkey (a hash of the text), n (size of its set), digest, prefix, bits and, folded to 256, q0 to q3 of every
+    """doc_id, tkey (a hash of the text), n (size of its set), digest, prefix, bits and, folded to 512, FOLDED of every
     document."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size, percent))
-    schema = f"doc_id long, tkey long, n long, digest binary, prefix array<long>, bits array<long>, {', '.join(f'q{k} long' for k in range(4))}"
+    schema = f"doc_id long, tkey long, n long, digest binary, prefix array<long>, bits array<long>, {', '.join(f'{q} long' for q in FOLDED)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
@@ -127,10 +129,10 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     prefixes.append(s[:p])
                 bits.append(bitmap(s))
             lists = lambda x: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(y) for y in x])]).astype(np.int32), np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64, copy=False))
-            folded = np.array([np.bitwise_xor.reduce(b.reshape(-1, 4), axis=0) for b in bits]).T
+            folded = np.array([np.bitwise_xor.reduce(b.reshape(-1, len(FOLDED)), axis=0) for b in bits]).T
             yield pa.record_batch(
                 [part.column("doc_id"), part.column("tkey"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), lists([x.view(np.int64) for x in prefixes]), lists(bits), *(pa.array(q) for q in folded)],
-                names=["doc_id", "tkey", "n", "digest", "prefix", "bits", "q0", "q1", "q2", "q3"],
+                names=["doc_id", "tkey", "n", "digest", "prefix", "bits", *FOLDED],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tkey"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -157,9 +159,9 @@ class Join:
         self.docs, self.size, self.percent = docs, size, percent
         self.rows = written(described(docs, size, percent), "ngram-rows")
         sets = self.rows.filter("n > 0").groupBy("digest").agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", "q0", "q1", "q2", "q3")]
+            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits", *FOLDED)]
         )
-        self.sets = written(sets.select(F.monotonically_increasing_id().alias("id"), "digest", "rep", "n", "prefix", "bits", "q0", "q1", "q2", "q3"), "ngram-sets")
+        self.sets = written(sets.select(F.monotonically_increasing_id().alias("id"), "digest", "rep", "n", "prefix", "bits", *FOLDED), "ngram-sets")
 
     def _band(self) -> Column:
         # a band is a little wider than the least ratio of sizes, so rounding can't part similar sizes by two bands
@@ -230,19 +232,19 @@ class Join:
         left = written(named.join(open_, "token", "left_semi"), "ngram-open")
         # the bound of the folded bitmaps is part of the join's condition, so pairs beyond it are not made; nor is a pair
         # that a token earlier in both orders makes: each row has its rank among the rows of its set here, and the first tokens
-        left = left.join(self.sets.select("id", "q0", "q1", "q2", "q3"), "id")
+        left = left.join(self.sets.select("id", *FOLDED), "id")
         mine = W.partitionBy("id").orderBy("pos")
         whole = mine.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         left = left.select("*", F.row_number().over(mine).alias("rank"), *[F.nth_value("token", k + 1).over(whole).alias(f"h{k}") for k in range(HEAD)])
-        cols = ("id", "n", "pos", "comp", "q0", "q1", "q2", "q3", "rank", *(f"h{k}" for k in range(HEAD)))
+        cols = ("id", "n", "pos", "comp", *FOLDED, "rank", *(f"h{k}" for k in range(HEAD)))
         small = left.select("token", "band", *[F.col(c).alias(f"{c}_1") for c in cols])
         large = left.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), *[F.col(c).alias(f"{c}_2") for c in cols])
         one, two = ({c: F.col(f"{c}_{k}") for c in cols} for k in (1, 2))
         n1, n2 = one["n"], two["n"]
         need = _need(n1, n2, percent)
         differ, made = F.lit(0), F.lit(False)
-        for k in range(4):
-            differ = differ + F.bit_count(one[f"q{k}"].bitwiseXOR(two[f"q{k}"]))
+        for q in FOLDED:
+            differ = differ + F.bit_count(one[q].bitwiseXOR(two[q]))
         for i in range(HEAD):
             for j in range(HEAD):
                 made = made | (one[f"h{i}"].eqNullSafe(two[f"h{j}"]) & (one["rank"] > i + 1) & (two["rank"] > j + 1))
