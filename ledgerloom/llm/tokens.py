@@ -19,7 +19,7 @@ import pyarrow as pa
 from ledgerloom.llm.columns import buffers
 
 #: Bytes of text that are cut and encoded at once; the most chunks that a worker keeps.
-SLICE_BYTES, KEPT = 8 << 20, 1_000_000
+SLICE_BYTES, KEPT = 4 << 20, 250_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
