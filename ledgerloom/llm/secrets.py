@@ -3,8 +3,8 @@
 Strong patterns are reported wherever they occur. Weak candidates (short assignments, runs that look random) are parts
 of a credential only if a complementary part, an access identifier or an endpoint, lies within `reach` code points in
 the same text. The parts of a text are sorted by place, and one sweep forward and one backward give each candidate the
-nearest complementary parts and the nearest strong spans on both sides: an interval join within the scope that needs
-no shuffle, emits no pairs and takes n log n steps for n parts. All of it is DataFrame operations on single rows, so
+nearest complementary parts on both sides and the strong spans that cover it: an interval join within the scope that
+needs no shuffle, emits no pairs and takes n log n steps for n parts. All of it is DataFrame operations on single rows, so
 hot sources and lost executors cost nothing but the rows themselves.
 
 Null texts are empty. Rows are scanned one by one, whatever their doc_id; other columns are kept by redact() and
@@ -25,9 +25,12 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "linked")
 
 #: Access identifiers and endpoints, in lower or upper case.
-ANCHOR = r"""(?i:(?:access_?key_?id|client_?id|account(?:_?id)?|user(?:_?name)?|login)["']?\x20{0,8}[:=]\x20{0,8}["']?[a-z0-9@._-]{3,64}|(?:[a-z][a-z0-9+.-]{1,15}://|(?:host|endpoint|server|url)["']?\x20{0,8}[:=]\x20{0,8}["']?)[a-z0-9._-]{3,128})"""
-#: Weak secrets: an assignment to a key-like name, or a run of 32 to 64 characters that could be random.
-WEAK = r"""(?i:\b(?:key|pwd|pass|auth|credentials?|private_?key|session)["']?\x20{0,8}[:=]\x20{0,8}["']?)[A-Za-z0-9+/_.=-]{6,128}|(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]{0,63}[0-9])(?=[a-z0-9+/]{0,63}[A-Z])(?=[A-Z0-9+/]{0,63}[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])"""
+ANCHOR = r"""(?i:(?:access_?key_?id|client_?id|account(?:_?id)?|user(?:_?name)?|login)["']?\x20*+[:=]\x20*+["']?[a-z0-9@._-]{3,}+|(?:[a-z][a-z0-9+.-]{1,15}://|(?:host|endpoint|server|url)["']?\x20*+[:=]\x20*+["']?)[a-z0-9._-]{3,}+)"""
+#: What names a weak assignment, up to its value.
+LABEL = r"""(?i:\b(?:key|pwd|pass|auth|credentials?|private_?key|session)["']?\x20*+[:=]\x20*+["']?)"""
+#: Weak secrets: an assignment to a key-like name, or a run of 32 characters or more that could be random; both to their
+#: end. Runs are looked at from their first character only, so the time is linear.
+WEAK = LABEL + r"""[A-Za-z0-9+/_.=-]{6,}+|(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=_-])"""
 
 _NONE = "cast(array() as array<struct<start:bigint,end:bigint,kind:int>>)"
 _FAR = 1 << 60
@@ -44,10 +47,19 @@ def _spans(text: Column, found: Column, kind: int, sure: Column | None = None, l
     return F.when(sure, got).otherwise(F.expr(_NONE)) if sure is not None else got
 
 
+def weak_spans(text: Column) -> Column:
+    """Weak spans: array of (start, end, value), value being where the name of an assignment ends and its value begins."""
+    value = lambda m: m["start"] + F.length(F.regexp_extract(m["found"], f"^{LABEL}", 0))
+    got = F.transform(matches(text, WEAK), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), value(m).alias("value")))
+    return F.when(text.rlike(WEAK), got).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:bigint>>)"))
+
+
 def linked(base: Column, anchors: Column, weak: Column, reach: int) -> Column:
-    """Of the weak spans, those that overlap no base span and lie within reach of an anchor or of an access identifier."""
-    role = lambda a, r: F.transform(a, lambda x: F.struct(x["start"].alias("start"), F.lit(r).alias("role"), x["end"].alias("end"), x["kind"].alias("kind")))
-    parts = F.sort_array(F.concat(role(base, 0), role(anchors, 1), role(weak, 2)))
+    """Of the weak spans, those whose value lies in no base span and that lie within reach of an anchor or of an access
+    identifier. A value that only overlaps base spans stays whole."""
+    # a weak span is placed by its value, so that a base span over all of the value comes before it
+    role = lambda a, r, place="start": F.transform(a, lambda x: F.struct(x[place].alias("place"), F.lit(r).alias("role"), x["end"].alias("end"), x["start"].alias("start"), (F.lit(3) if r == 2 else x["kind"]).alias("kind")))
+    parts = F.sort_array(F.concat(role(base, 0), role(anchors, 1), role(weak, 2, "value")))
     is_base = lambda x: x["role"] == 0
     is_anchor = lambda x: (x["role"] == 1) | (is_base(x) & (x["kind"] == 1))
     pair = lambda x, place, none: F.struct(F.when(is_base(x), x[place]).otherwise(none).alias("base"), F.when(is_anchor(x), x[place]).otherwise(none).alias("anchor"))
@@ -60,7 +72,7 @@ def linked(base: Column, anchors: Column, weak: Column, reach: int) -> Column:
         before = scan(F.transform(p, lambda x: pair(x, "end", low)), edge(low), both(F.greatest), sides)
         after = F.reverse(scan(F.reverse(F.transform(p, lambda x: pair(x, "start", high))), edge(high), both(F.least), sides))
         joined = F.arrays_zip(p.alias("x"), before.alias("b"), after.alias("a"))
-        near = F.filter(joined, lambda j: (j["x"]["role"] == 2) & (j["b"]["base"] <= j["x"]["start"]) & (j["a"]["base"] >= j["x"]["end"]) & ((j["x"]["start"] - j["b"]["anchor"] <= reach) | (j["a"]["anchor"] - j["x"]["end"] <= reach)))
+        near = F.filter(joined, lambda j: (j["x"]["role"] == 2) & (j["b"]["base"] < j["x"]["end"]) & ((j["x"]["start"] - j["b"]["anchor"] <= reach) | (j["a"]["anchor"] - j["x"]["end"] <= reach)))
         return F.transform(near, lambda j: F.struct(j["x"]["start"].alias("start"), j["x"]["end"].alias("end"), F.lit(3).alias("kind")))
 
     return F.when((F.size(weak) > 0) & (F.size(anchors) + F.size(base) > 0), let(parts, swept)).otherwise(F.expr(_NONE))
@@ -76,7 +88,7 @@ def found(text: Column, reach: int = 200) -> Column:
             _spans(t, matches(t, ACCESS), 1, t.contains("AKIA"), 18),
             _spans(t, matches(t, "[0-9a-f]{16,}+"), 2, t.rlike("[0-9a-f]{16}")),
         )
-        weak = _spans(t, matches(t, WEAK), 3, t.rlike(WEAK))
+        weak = weak_spans(t)
         anchors = _spans(t, matches(t, ANCHOR), 3, sets)
         joined = let(F.struct(base.alias("b"), weak.alias("w")), lambda s: F.concat(s["b"], F.when(F.size(s["w"]) > 0, let(anchors, lambda a: linked(s["b"], a, s["w"], reach))).otherwise(F.expr(_NONE))))
         return F.sort_array(F.transform(joined, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))

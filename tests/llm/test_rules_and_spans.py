@@ -151,6 +151,27 @@ def test_weak_parts_need_each_other(spark):
     assert len(near) == 11
 
 
+def test_weak_parts_of_any_length(spark):
+    rnd = random.Random(3)
+    noise = lambda n: "aB3" + "".join(rnd.choice("ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(n - 3))
+    at = "https://db.example.org"
+    text, want = {}, {}
+    for n in (40, 64, 65, 88, 128, 129, 440, 5000):
+        v = noise(n)
+        for k, (lead, tail) in enumerate([("session: ", " end"), (f"key{' ' * 9}={' ' * 9}", " end"), ("", "== end"), ("", " end")]):
+            i = 10 * n + k
+            text[i] = f"{at} {lead}{v}{tail}"
+            want[i] = f"{at} [SECRET] end"
+    # a value with a strong span inside is cut whole, one that a strong span covers is listed once, a far one is left
+    v = noise(50) + "0123456789abcdef" + noise(50)
+    text |= {1: f"{at} {v} end", 2: f"{at} session={v} end", 3: f"{at} key: 0123456789abcdef0123 end", 4: f"{v[:50]} " + "x " * 150 + at, 5: f"endpoint: {'h' * 400} session: {v[:50]} end"}
+    want |= {1: f"{at} [SECRET] end", 2: f"{at} [SECRET] end", 3: f"{at} key: [SECRET] end", 4: text[4], 5: f"endpoint: {'h' * 400} [SECRET] end"}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == want
+    rows = {r.doc_id: (r.n_hex, r.n_linked) for r in secrets.summary(docs).collect()}
+    assert [rows[k] for k in range(1, 6)] == [(1, 1), (1, 1), (1, 0), (0, 0), (0, 1)] and all(rows[k] == (0, 1) for k in rows if k > 5)
+
+
 def test_secret_redaction(hard, none, spark):
     assert secrets.summary(none).count() == 0 and secrets.redact(hard).schema == hard.schema and secrets.redact(hard).count() == hard.count()
     long = " ".join(f"token={'a1b2c3d4e5f6' * 2}{k}" for k in range(600))
