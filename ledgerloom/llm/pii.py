@@ -46,13 +46,26 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
+# the spellings of a written address; the gates below are made of them too
+_AT, _DOT = r"\[at\]|\(at\)|\{at\}|\sat\s", r"\[dot\]|\(dot\)|\{dot\}|\sdot\s"
+_HAS_AT, _HAS_DOT = re.compile(f"(?i){_AT}"), re.compile(rf"(?i){_DOT}|\.")
+# both look ahead for the domain, as its last word can be the local part of the next address; a dot with a space beside
+# it may end a sentence, so the second one takes only dots without
+_WRITTEN = r"(?i)(?<![\w.+-])[\w.+-]++\s?(?:{at})\s?(?=([a-z0-9-]++(?:{dot}[a-z0-9-]{{2,}}+)+))"
+_TIGHT = re.compile(_WRITTEN.format(at=_AT, dot=rf"(?:\s?(?:{_DOT})\s?|\.)"))
+# RE2 knows fewer spaces than Python: these are all of Python's
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: RE2, for texts without digits and '@': a written address has an 'at', an IPv6 address two colons at most four digits apart.
+MAYBE = f"(?i){_AT}|:[0-9a-f]{{0,4}}:".replace(r"\s", _SPACE)
+_TLD = re.compile(r"(?i)[.\s\])}](?:com|org|net|edu|gov|mil|int|info|biz|io|me|ai|app|dev|co|eu|[a-z]{2})$")
+
 GENERATORS = {
-    "written_email": re.compile(r"(?i)(?<![\w.])[\w.+-]{1,40}\s?(?:\[at\]|\(at\)|\{at\}|\sat\s)\s?[a-z0-9-]{1,40}(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\sdot\s|\.)\s?[a-z0-9-]{2,24}){1,3}"),
+    "written_email": re.compile(_WRITTEN.format(at=_AT, dot=rf"\s?(?:{_DOT}|\.)\s?")),
     "local_phone": re.compile(r"(?<![\w.+])(?:\([0-9]{2,5}\)\x20?|00[0-9]{1,3}[\x20.-]|0[0-9]{1,4}[\x20/.-]|[0-9]{3}[\x20.-])[0-9]{2,4}(?:[\x20.-][0-9]{2,5}){1,4}(?![\w])"),
     "number": re.compile(r"(?<![\w.+-])[0-9]{4}(?:[\x20-]?[0-9]{4}){2,3}(?:[\x20-]?[0-9]{1,3})?(?![\w])"),
     "identity": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)"),
-    "ipv6": re.compile(r"(?i)(?<![\w:])(?:[0-9a-f]{1,4}:){2,7}(?::?[0-9a-f]{1,4}|:)(?![\w:])"),
+    "ipv6": re.compile(r"(?i)(?<![\w:])(?=:{0,2}[0-9a-f])(?:(?:[0-9a-f]{1,4}:){2,7}(?::?[0-9a-f]{1,4}|:)|(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,6})?)(?![\w:])"),
 }
 _CUES = {
     "phone": re.compile(r"(?i)phone|tel\b|tel[.:]|call|fax|mobile|cell|whatsapp|dial"),
@@ -104,12 +117,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of all that the generators propose."""
-    low = text.lower()
     out = []
     for k, (kind, pattern) in enumerate(GENERATORS.items()):
-        if kind == "written_email" and not ("at" in low and ("dot" in low or "." in low) and ("[at" in low or "(at" in low or "{at" in low or " dot " in low)):
-            continue
-        out += [(len(BASE) + k, m.start(), m.end()) for m in pattern.finditer(text)]
+        if kind != "written_email":
+            out += [(len(BASE) + k, m.start(), m.end()) for m in pattern.finditer(text)]
+        elif _HAS_AT.search(text) and _HAS_DOT.search(text):
+            for m in pattern.finditer(text):
+                ends = {m.end(1)} | ({t.end(1)} if (t := _TIGHT.match(text, m.start())) else set())
+                out += [(len(BASE) + k, m.start(), e) for e in sorted(ends)]
     return out
 
 
@@ -125,7 +140,8 @@ def described(text: str, kind: int, start: int, end: int) -> list[float]:
         *(float(kind == k) for k in range(len(BASE), len(KINDS))),
         len(span), len(digits), letters, len(groups), max(groups), min(groups), float(len(set(groups)) == 1),
         span.count(" "), span.count("-"), span.count("."), span.count(":"), float("(" in span), float(span[:1] == "0"),
-        float(len(digits) > 1 and luhn(digits)), float(kind == len(BASE) + 4 and mod97(span)), len(set(digits)), float(year), float("[" in span or "{" in span or " dot " in span.lower()),
+        float(len(digits) > 1 and luhn(digits)), float(kind == len(BASE) + 4 and mod97(span)), len(set(digits)), float(year), float("[" in span or "{" in span or re.search(r"(?i)\sdot\s", span) is not None),
+        float(re.search(rf"(?i){_DOT}", span) is not None), float(re.search(r"\.\s|\s\.", span) is not None), float(kind == len(BASE) and _TLD.search(span) is not None), float("::" in span),
         float(l == "" or l.isspace()), float(l.isalnum()), float(l in "$€£#/=<" and l != ""), float(r == "" or r.isspace()), float(r in ".,;!?)" and r != ""), float(r in "%/=>-" and r != ""),
         *(float(c.search(before) is not None) for c in _CUES.values()),
     ]
@@ -138,6 +154,9 @@ def examples(n: int, seed: int) -> tuple[list[list[float]], list[int], list[int]
     word = lambda: "".join(rnd.choice("abcdefghilmnoprstuvwy") for _ in range(rnd.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(rnd.randint(a, b)))
 
+    groups = lambda a, b: "".join(f":{rnd.randrange(65536):x}" for _ in range(rnd.randint(a, b)))
+    ats, dots, tlds = [" [at] ", "[at]", " (at) ", "{at}", " at "], [" [dot] ", " dot ", "(dot)", " (dot) ", "{dot}", "\ndot "], ["com", "org", "net", "de"]
+
     def card() -> str:
         body = rnd.choice("3456") + digits(14)
         d = next(body + c for c in "0123456789" if luhn(body + c))
@@ -149,12 +168,14 @@ def examples(n: int, seed: int) -> tuple[list[list[float]], list[int], list[int]
         return " ".join(code[k : k + 4] for k in range(0, len(code), 4)) if rnd.random() < 0.5 else code
 
     pii = [
-        (lambda: f"{word()}{rnd.choice([' [at] ', '[at]', ' (at) ', ' at '])}{word()}{rnd.choice([' [dot] ', ' dot ', '(dot)'])}{rnd.choice(['com', 'org', 'net', 'de'])}", ["write to", "email", "contact me:", "mail", ""]),
+        (lambda: f"{word()}{rnd.choice(ats)}{word()}{rnd.choice(dots)}{rnd.choice(tlds)}", ["write to", "email", "contact me:", "mail", ""]),
+        (lambda: f"{word()}{rnd.choice(ats)}{word()}.{rnd.choice(tlds)}", ["write to", "email", "contact me:", "mail", "e-mail:", "reach me:"]),
         (lambda: rnd.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"0{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0049 {digits(3)} {digits(6)[:3]} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}"]), ["call", "phone:", "Tel.", "mobile", "fax", "tel:"]),
         (card, ["card", "credit card number", "Visa", "payment with", "my card is"]),
         (lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", ["SSN", "social security", "ssn:", "insurance number", ""]),
         (iban, ["IBAN", "account", "transfer to", "bank", ""]),
         (lambda: ":".join(f"{rnd.randrange(65536):x}" for _ in range(8)), ["IP", "address", "host", "server", ""]),
+        (lambda: f"{rnd.choice(['2001', 'fe80', 'fd00', f'{rnd.randrange(4096, 65536):x}'])}{groups(0, 3)}:{groups(1, 4)}", ["IP", "address", "host", "server", ""]),
     ]
     other = [
         (lambda: f"{rnd.randint(1900, 2030)}-{digits(2)}-{digits(2)}", ["on", "date", "released"]),
@@ -169,6 +190,9 @@ def examples(n: int, seed: int) -> tuple[list[list[float]], list[int], list[int]
         (lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", ["part", "order", "ref", "model"]),
         (lambda: f"{rnd.choice(['AB', 'XX', 'QZ', 'DE'])}{digits(2)} {digits(4)} {digits(4)} {digits(4)}", ["part", "serial", "model", "ref"]),
         (lambda: f"{word()} at {word()} dot {word()}", ["look", "stay", "the", "we met"]),
+        (lambda: f"{word()} at {word()}. {word().title()}", ["look", "stay", "the", "we met", "they", ""]),
+        (lambda: f"{word()} at {word()}.{rnd.choice(tlds)}", ["look", "hosted", "the site", "available", "see it", ""]),
+        (lambda: rnd.choice(["::add", "::bad", "add::bed", "a::b", "c::d", "::dead", "Face::Bed", "::f"]), ["call", "class", "use", "method", ""]),
         (lambda: f"{digits(4)} {digits(4)} {digits(4)}", ["", "total", "score", "id"]),
     ]
     x, y, kinds = [], [], []
@@ -273,7 +297,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
             data, offsets = buffers(texts)
             sums = np.concatenate([[0], np.cumsum(hint[data])])
             maybe = np.diff(sums[offsets]) > 0
-            maybe |= pc.match_substring_regex(texts, r"(?i)[\[({]at[\])}]|\sdot\s").fill_null(False).to_numpy(zero_copy_only=False)
+            maybe |= pc.match_substring_regex(texts, MAYBE).fill_null(False).to_numpy(zero_copy_only=False)
             spans: list[list] = [[] for _ in range(len(texts))]
             for d in np.flatnonzero(maybe).tolist():
                 text = texts[d].as_py()

@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from ledgerloom.llm import licenses, pii, quality_rules, secrets
 from pyspark.sql import functions as F
@@ -103,6 +105,34 @@ def test_pii_model_holds_out():
     assert y[chosen].mean() > 0.95 and chosen[y == 1].mean() > 0.8
 
 
+def test_written_addresses_in_all_spellings(spark):
+    import sys
+
+    assert all((re.match(r"\s", c) is None) == (re.match(re.sub(r"\\x\{(\w+)\}", r"\\u\1", pii._SPACE), c) is None) for c in map(chr, range(sys.maxunicode + 1)))
+    ats, dots = ["[at]", "(at)", "{at}", "at"], ["[dot]", "(dot)", "{dot}", "dot"]
+    written = [f"jane{s}{a}{s}example{s}{d}{s}com" for a in ats for d in dots for s in (" ", "\n", "\u00a0")] + [f"jane {a} example.com" for a in ats]
+    written += ["j" * 60 + " at example [dot] com", "jane at " + "e" * 60 + " [dot] com", "jane at mail dot " + "e" * 60 + " dot a-b dot co dot uk"]
+    for w in written:
+        for before, after in (("please mail ", " soon"), ("we met at school. Or mail ", ". Thanks")):
+            found = [f"{before}{w}{after}"[s:e] for k, s, e in pii.candidates(f"{before}{w}{after}") if k == len(pii.BASE)]
+            assert w in found, (w, found)
+    for w in ("fe80::1", "2001:db8::8a2e:370:7334", "::ffff:abcd", "a:b:c::d:e", "1:2:3:4:5:6:7:8", "dead:beef::cafe"):
+        assert [f"host {w} up"[s:e] for k, s, e in pii.candidates(f"host {w} up") if k == pii.KINDS.index("ipv6")] == [w]
+    assert pii.candidates("std::string a :: b") == []
+    gate = pc.match_substring_regex(pa.array([*written, "host dead:beef::cafe up", "no: such thing: here, data or datum"]), pii.MAYBE).to_pylist()
+    assert all(gate[:-1]) and not gate[-1]
+    # through the row gate, and by the trees: without digits or '@'
+    rows = {k: f"please mail {w} soon" for k, w in enumerate(written) if len(w) < 60} | {901: "They met at school. Then all went home at noon. Look at that. No one was there."}
+    got = {r.doc_id: r.spans for r in pii.summary(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got[901] == ""
+    missed = {k: (rows[k], got[k]) for k in rows if k < 901 and got[k] != f"written_email:12:{len(rows[k]) - 5}"}
+    assert not missed, missed
+    for t in ("a-" * 100_000, "a at " * 40_000, "a at b. " * 25_000, "a at b" + ".cc" * 60_000, "a:" * 100_000, "::a" * 60_000):
+        began = __import__("time").time()
+        pii.candidates(t)
+        assert __import__("time").time() - began < 5, t[:8]
+
+
 def test_pii_redaction(hard, none, spark):
     assert pii.summary(none).count() == 0 and pii.redact(none).count() == 0 and pii.redact(hard).schema == hard.schema
     df = spark.createDataFrame([(1, "é a@b.cc, 10.0.0.1!"), (2, None)], "doc_id long, text string")
