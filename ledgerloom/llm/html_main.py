@@ -34,8 +34,14 @@ from ledgerloom.shipping import ship
 # Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript svg math object select option datalist canvas audio video iframe xmp noembed noframes textarea".split())
+UNSEEN = frozenset("head script style title template noscript svg annotation annotation-xml object select option datalist canvas audio video iframe xmp noembed noframes textarea".split())
 BLOCK = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table caption thead tbody tfoot tr td th ul button label legend".split())
+#: elements that can stand in head; any other closes it
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+#: an opening tag of LEAVES leaves an open svg or math, unless it stands in an element of POINTS, which can hold HTML
+FOREIGN = frozenset(["svg", "math"])
+POINTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+LEAVES = BLOCK | frozenset("b big br code em embed head hr i img meta nobr ruby s small span strong strike sub sup tt u var".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption html body button label legend".split())
 #: an opening tag closes open elements of these names, up to the nearest of the second
 ENDED_BY = {
@@ -83,7 +89,8 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements and their block elements
-        unseen = links = 0
+        unseen = links = foreign = 0
+        begun = False  # whether the body has
         pieces: list[str] = []
 
         def flush() -> None:
@@ -96,15 +103,24 @@ class Page:
                     self.stops[stack[-1][1]] += line.count(".") + line.count(",")
 
         def pop() -> None:
-            nonlocal unseen, links
+            nonlocal unseen, links, foreign
             name, _ = stack[-1]
             if name in BLOCK:
                 flush()
             stack.pop()
             unseen -= name in UNSEEN
             links -= name == "a"
+            foreign -= name in FOREIGN
+
+        def in_head() -> bool:
+            return len(stack) > 1 and stack[1][0] == "head"
 
         def text(raw: str) -> None:
+            nonlocal begun
+            if raw and not raw.isspace() and (len(stack) == 1 or (len(stack) == 2 and in_head())):
+                begun = True
+                if in_head():
+                    pop()
             if raw and not unseen:
                 said = entities.unescape(raw) if "&" in raw else raw
                 pieces.append(said)
@@ -137,8 +153,23 @@ class Page:
                 continue
             if m[6] is not None and m.end() == n and not source.endswith(">"):
                 break  # cut off inside a tag
-            if name in ("html", "body"):
+            if in_head():
+                if (name == "body" and not any(x == "template" for x, _ in stack)) or (len(stack) == 2 and name not in IN_HEAD):
+                    while len(stack) > 1:
+                        pop()
+                    begun = True
+            elif name not in IN_HEAD:
+                begun = True
+            if name in ("html", "body") or (name == "head" and (begun or in_head())):
                 continue
+            if foreign and name in LEAVES:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] in POINTS or stack[k][0] in BLOCK:
+                        break
+                    if stack[k][0] in FOREIGN:
+                        while len(stack) > k:
+                            pop()
+                        break
             if name in CLOSES_P or name == "p":
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
@@ -173,6 +204,8 @@ class Page:
                     at = n if close < 0 else close + 1
                 continue
             attrs = m[3] if m[3] is not None else m[6] or ""
+            if (foreign or name in FOREIGN) and re.search(r"""(?:^|[\s"'])/$""", attrs):
+                continue  # only these close themselves
             if name in BLOCK:
                 flush()
                 kept, hidden = "", False
@@ -194,6 +227,7 @@ class Page:
                 stack.append((name, stack[-1][1]))
                 unseen += name in UNSEEN
                 links += name == "a"
+                foreign += name in FOREIGN
         while len(stack) > 1:
             pop()
         flush()

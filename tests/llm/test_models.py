@@ -153,6 +153,23 @@ def test_tree(source, blocks):
     assert [t for _, t in html_main.Page(source).blocks] == blocks
 
 
+@pytest.mark.parametrize(("source", "blocks"), [
+    ("<html><head><title>x</title><meta charset=utf-8><body><p>a</p><p>b", ["a", "b"]),
+    ("<head><title>x</title><link rel=a><p>a</p><div>b</div>", ["a", "b"]),
+    ("<head><style>x</style>a<p>b", ["a", "b"]),
+    ("<head><noscript><style>x</style><body><p>a", ["a"]),
+    ("<head><noscript><p>x</p></noscript><title>y</title></head><body><p>a", ["a"]),
+    ("<p>a <head> b</p><p>c", ["a b", "c"]),
+    ("<div>a <svg><path d='x'><text>x</text><p>b</p> c</div>", ["a", "b", "c"]),
+    ("<div>a <svg viewBox='0 0 1 1'/> b <svg/>c</div>", ["a b c"]),
+    ("<div>a <svg><foreignObject><div>x</div></foreignObject><text>y</text></svg> b</div>", ["a", "b"]),
+    ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='tex'>y</annotation></semantics></math> holds</p>", ["so x=1 holds"]),
+    ("<p>so <math><mi>x</mi><semantics><annotation>y<p>b", ["so x", "b"]),
+])
+def test_head_svg_and_math_that_stay_open(source, blocks):
+    assert [t for _, t in html_main.Page(source).blocks] == blocks
+
+
 def test_time_is_linear():
     import time
 
