@@ -45,8 +45,23 @@ def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: f
     while size >= grain and rest:  # the ids beyond the full sequences
         if rest & size:
             k = next((k for k in range(len(left) - 1, -1, -1) if left[k][0] >= size), None)
-            if k is None:
-                break
+            if k is None:  # several documents, the longest first; one is cut if no whole one fits the gap
+                left.sort(key=lambda x: (-x[0], x[1], x[2]))
+                gap, kept = size, []
+                for n, d, start in left:
+                    if not gap or n > gap:
+                        kept.append((n, d, start))
+                    else:
+                        pieces.append((d, start, n, sequence, size - gap))
+                        gap -= n
+                if gap and kept:
+                    n, d, start = kept.pop()
+                    pieces.append((d, start, gap, sequence, size - gap))
+                    kept.append((n - gap, d, start + gap))
+                    gap = 0
+                left, sequence, rest, total = kept, sequence + 1, rest - size, total - size + gap
+                size //= 2
+                continue
             n, d, start = left.pop(k)
             pieces.append((d, start, size, sequence, 0))
             sequence, rest, total = sequence + 1, rest - size, total - size

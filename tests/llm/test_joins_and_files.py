@@ -158,6 +158,18 @@ def test_costs_are_balanced():
     assert packing.assign(np.zeros(0, np.int64), 2048) == []
 
 
+def test_short_documents_leave_little_padding():
+    rnd = np.random.default_rng(5)
+    for lengths in ([300, 300, 300], [100] * 7, [1], [130] * 40, *(rnd.integers(1, rnd.integers(2, 400), rnd.integers(1, 60)) for _ in range(200))):
+        used, held = collections.Counter(), collections.Counter()
+        for d, start, n, s, offset in packing.assign(np.array(lengths, np.int64), 2048):
+            assert n > 0 and offset == used[s]
+            used[s] += n
+            held[d] += n
+        assert [held[d] for d in range(len(lengths))] == list(lengths)
+        assert sum(max(128, 1 << (n - 1).bit_length()) - n for n in used.values()) < 128
+
+
 def check_packing(rows, texts, tokenizer):
     want = collections.Counter((k, ids_of(tokenizer, t).tobytes()) for k, t in texts)
     by_seq = collections.defaultdict(list)
