@@ -8,10 +8,17 @@ not fill tiles. A set also has a bitmap of the parities of its hashed tokens: th
 no more than the tokens in which the sets differ, which bounds the overlap from above. Pairs that pass are verified by
 intersecting sorted arrays.
 
-A large group of near copies has a pair for every two members, so tiles are worked in two rounds. First every set is
-paired with one pivot of its tile only, and the links that are found are closed to groups. The second round pairs only
-sets of a tile that are still in different groups, all of them; a tile that lies in one group, or has two sets, drops out
-by a partial aggregate. Every link is thus either verified or joins sets that other links already connect: groups are exact.
+A large group of near copies has a pair for every two members, so pairs are only made where simpler means leave a doubt.
+First every set is paired with one pivot of its tile, the one that shares most, and the links that are found are closed to
+groups. Sets of tiles that still hold several groups are then gathered around pivots that they are near to, linked or not.
+In such a cluster a set is its difference from a reference, and the difference of two sets follows from theirs: if one of
+two sets isn't linked with the reference, they can only be linked if their differences share tokens, more of them the
+larger they are. So the members are joined on the rarest tokens of their differences, a prefix join once more, in
+which the wording that all members have in common plays no part. The reference is the medoid of the cluster; some rounds
+take further medoids among the members that are not in the largest group yet. What is left are pairs of a tile that are
+neither in one group nor in one cluster: those are compared one by one, all of them, by bitmaps in the join, but rows of the
+label that is most frequent in a tile are never compared with each other. Every link is thus either verified or joins
+sets that other links already connect: groups are exact.
 
 A document without words, or without a text, is linked with nothing. Repeated doc_ids are rows of their own, and a
 null doc_id counts as larger than any other. An empty table gives no rows. Extra columns are ignored, or kept by keep_one().
@@ -28,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.columns import NOT_SPACE, Words, ngrams, text_slices
+from ledgerloom.llm.columns import NOT_SPACE, Words, mix, ngrams, text_slices
 from ledgerloom.llm.components import components
 from ledgerloom.llm.store import written
 from ledgerloom.shipping import ship
@@ -41,9 +48,14 @@ HEAD = 4
 FOLDED = tuple(f"q{k}" for k in range(8))
 #: Documents that must share a token for it to count as frequent.
 CROWDED = 8
+#: Two sets can be in one cluster if the bits in which they differ are at most this share of their sizes' sum.
+NEAR = 0.25
+#: The most medoids of a cluster that are tried one after another before its members are joined by their differences.
+MEDOIDS = 4
 #: The most buckets of keys that are broadcast (some 50 bytes each) to pick texts before they are shuffled.
 SIEVE = 1 << 19
 _BITS = 20
+_MEMBER = "hub long, id long, n long, comp long, delta array<long>"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -73,6 +85,15 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(bounds, np.concatenate([*arrays, np.zeros(0, np.int64)]).astype(np.int64, copy=False))
+
+
+def _cluster_key(hub: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix(mix(hub.astype(np.int64).view(np.uint64)) ^ token.astype(np.int64).view(np.uint64))
+
+
 def _frequent(docs: DataFrame, size: int, percent: int) -> np.ndarray:
     """The tokens that would fill most tiles, the least frequent of them first.
 
@@ -86,8 +107,14 @@ def _frequent(docs: DataFrame, size: int, percent: int) -> np.ndarray:
             yield pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(n)], names=["token", "n"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= CROWDED)
-    counted = written(counted, "ngram-frequent")
-    # the least level of counts above which there are no more than FREQUENT tokens; levels are few
+    top = _most(written(counted, "ngram-frequent")).toArrow()
+    tokens, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    return tokens[np.lexsort((tokens, n))]
+
+
+def _most(counted: DataFrame) -> DataFrame:
+    """The rows with the largest n, FREQUENT at most."""
+    # the least level of counts above which there are no more than FREQUENT rows; levels are few
     level = F.floor(F.log2("n") * 8).cast("int")
     least, total = 10_000, 0
     for row in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(), reverse=True):
@@ -95,9 +122,7 @@ def _frequent(docs: DataFrame, size: int, percent: int) -> np.ndarray:
         if total > FREQUENT:
             break
         least = row.level
-    top = counted.filter(level >= least).toArrow()
-    tokens, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    return tokens[np.lexsort((tokens, n))]
+    return counted.filter(level >= least)
 
 
 def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -128,16 +153,20 @@ def described(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 else:
                     prefixes.append(s[:p])
                 bits.append(bitmap(s))
-            lists = lambda x: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(y) for y in x])]).astype(np.int32), np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64, copy=False))
             folded = np.array([np.bitwise_xor.reduce(b.reshape(-1, len(FOLDED)), axis=0) for b in bits]).T
             yield pa.record_batch(
-                [part.column("doc_id"), part.column("tkey"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), lists([x.view(np.int64) for x in prefixes]), lists(bits), *(pa.array(q) for q in folded)],
+                [part.column("doc_id"), part.column("tkey"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), _lists([x.view(np.int64) for x in prefixes]), _lists(bits), *(pa.array(q) for q in folded)],
                 names=["doc_id", "tkey", "n", "digest", "prefix", "bits", *FOLDED],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tkey"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """The hubs of clusters that hold several groups."""
+    return written(rows.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("hub"), "ngram-several")
+
+
 def _need(na: Column, nb: Column, percent: int) -> Column:
     """The least intersection of sets of these sizes that makes a link."""
     return F.ceil((percent * (na + nb)) / F.lit(100 + percent))
@@ -168,10 +197,12 @@ class Join:
         return F.floor(F.log("n") / F.log(F.lit(100 / self.percent * 1.001))).cast("int").alias("band")
 
     def _tiles(self) -> DataFrame:
-        """(token, band, id, n, pos) of prefix tokens that two or more sets share."""
+        """(token, band, id, n, pos, degree) of prefix tokens that two or more sets share; the degree of a set is how many
+        sets share its prefix tokens, for its size."""
         one = self.sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-        shared = self.sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-        return written(one.join(shared, "token", "left_semi").select("token", self._band(), "id", "n", "pos"), "ngram-tiles")
+        shared = self.sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
+        degree = F.sum("k").over(W.partitionBy("id")) / F.col("n")
+        return written(one.join(shared, "token").select("token", self._band(), "id", "n", "pos", degree.alias("degree")), "ngram-tiles")
 
     def _shingles(self, ids: DataFrame) -> DataFrame:
         """(id, shingles) of these sets, from the text of one document of each.
@@ -193,13 +224,21 @@ class Join:
 
         return written(found.mapInArrow(run, "id long, shingles binary"), "ngram-shingles")
 
-    def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The links (a, b) among pairs (a, b): those that the bitmaps leave, by intersecting their shingles."""
-        percent = self.percent
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        """Adds na, nb and differ, the bits in which the bitmaps differ, to distinct pairs (a, b)."""
         side = lambda s: self.sets.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.select("a", "b", "na", "nb", _differ(F.col("bitsa"), F.col("bitsb")).alias("differ"))
+
+    def _possible(self) -> Column:
+        """Whether compared pairs can be linked, by their sizes and bitmaps."""
         na, nb = F.col("na"), F.col("nb")
-        bounded = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(_differ(F.col("bitsa"), F.col("bitsb")) <= na + nb - 2 * _need(na, nb, percent)).select("a", "b")
-        bounded = written(bounded, f"{name}-pairs")
+        return (100 * F.least(na, nb) >= self.percent * F.greatest(na, nb)) & (F.col("differ") <= na + nb - 2 * _need(na, nb, self.percent))
+
+    def _verified(self, bounded: DataFrame, name: str) -> DataFrame:
+        """The links (a, b) among pairs (a, b), by intersecting their shingles."""
+        percent = self.percent
+        bounded = written(bounded.select("a", "b"), f"{name}-pairs")
         if not bounded.take(1):
             return bounded
         shingles = self._shingles(bounded.select(F.col("a").alias("id")).distinct().unionAll(bounded.select(F.col("b").alias("id")).distinct()).distinct())
@@ -216,29 +255,134 @@ class Join:
 
         return written(bounded.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long"), f"{name}-links")
 
-    def groups(self) -> DataFrame:
-        """(digest, component, keeper): the smallest doc_id of each set's group, and the row that stands for the group."""
+    def _clusters(self, near: DataFrame, left: DataFrame, group: DataFrame) -> DataFrame:
+        """(hub, id, n, comp) of the sets of open tiles, each with the one pivot near to it that most are near to; only
+        clusters that hold several groups."""
+        ids = left.select("id").distinct()
+        votes = near.select(F.col("a").alias("id"), F.col("b").alias("hub")).join(ids, "id", "left_semi")
+        # counts of clusters are written first: a small table is then broadcast and rows of a hot cluster stay where they are
+        weighed = votes.join(written(votes.groupBy("hub").agg(F.count("*").alias("votes")), "ngram-votes"), "hub")
+        chosen = written(weighed.groupBy("id").agg(F.max_by("hub", F.struct("votes", "hub")).alias("hub")), "ngram-chosen")
+        hubs = chosen.select("hub").distinct()
+        own = hubs.select(F.col("hub").alias("id"), "hub")
+        named = chosen.join(own.select("id"), "id", "left_anti").unionByName(own).join(group, F.col("id") == F.col("node"), "left")
+        named = named.select("hub", "id", F.coalesce("component", "id").alias("comp"))
+        named = written(named, "ngram-named")
+        return written(named.join(_several(named), "hub", "left_semi").join(self.sets.select("id", "n"), "id").select("hub", "id", "n", "comp"), "ngram-clusters")
+
+    def _differences(self, members: DataFrame) -> DataFrame:
+        """Adds delta to members: the shingles of the set or of the set `hub`, but not of both."""
+        shingles = self._shingles(members.select("id").distinct())
+        both = members.join(shingles, "id").join(shingles.select(F.col("id").alias("hub"), F.col("shingles").alias("other")), "hub")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = zip(batch.column("shingles"), batch.column("other"), strict=True)
+                deltas = [np.setxor1d(*(np.frombuffer(v.as_buffer(), np.int64) for v in p), assume_unique=True) for p in pairs]
+                yield pa.record_batch([*(batch.column(c) for c in ("hub", "id", "n", "comp")), _lists(deltas)], names=["hub", "id", "n", "comp", "delta"])
+
+        return written(both.select("hub", "id", "n", "comp", "shingles", "other").mapInArrow(run, _MEMBER), "ngram-differences")
+
+    def _common(self, members: DataFrame) -> np.ndarray:
+        """Keys of the tokens that most differences of a cluster have, and the shares of its members that have them."""
+        counted = members.select("hub", F.explode("delta").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= CROWDED)
+        top = _most(written(counted, "ngram-common")).join(members.groupBy("hub").agg(F.count("*").alias("m")), "hub")
+        top = top.select("hub", "token", (F.col("n") / F.col("m")).alias("share")).toArrow()
+        keys, share = _cluster_key(top.column("hub").to_numpy(), top.column("token").to_numpy()), top.column("share").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        return np.rec.fromarrays([keys[order], share[order]], names="key,share")
+
+    def _ordered(self, members: DataFrame, common: np.ndarray) -> DataFrame:
+        """Members with the tokens of their differences in the order of how common they are, and `score`: the smaller,
+        the nearer to all others."""
+        shared = members.sparkSession.sparkContext.broadcast(common)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                delta = batch.column("delta")
+                tokens, sizes = delta.flatten().to_numpy(), delta.value_lengths().to_numpy()
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                share = np.zeros(len(tokens))
+                if len(shared.value) and len(tokens):
+                    keys = _cluster_key(np.repeat(batch.column("hub").to_numpy(), sizes), tokens)
+                    at = np.minimum(np.searchsorted(shared.value.key, keys), len(shared.value) - 1)
+                    share = np.where(shared.value.key[at] == keys, shared.value.share[at], 0)
+                score = sizes - 2 * np.bincount(row, share, minlength=len(sizes))
+                ordered = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), tokens[np.lexsort((tokens, share, row))])
+                yield pa.record_batch([*(batch.column(c) for c in ("hub", "id", "n", "comp")), ordered, pa.array(score, pa.float64())], names=["hub", "id", "n", "comp", "delta", "score"])
+
+        return members.select("hub", "id", "n", "comp", "delta").mapInArrow(run, f"{_MEMBER}, score double")
+
+    def _within(self, members: DataFrame) -> DataFrame:
+        """The links (a, b) of members of one cluster that are in different groups, or that connect what these links do."""
         percent = self.percent
-        tiles = self._tiles()
-        pivots = tiles.groupBy("token", "band").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("np"))
-        beside = pivots.unionAll(pivots.withColumn("band", F.col("band") + 1))
-        close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-        first = tiles.join(beside, ["token", "band"]).filter((F.col("id") != F.col("pivot")) & close(F.col("n"), F.col("np"))).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        links = self._verified(first, "ngram-first")
-        group = components(links)
-        named = tiles.join(group, tiles["id"] == group["node"], "left").select("token", "id", "n", "band", "pos", F.coalesce("component", "id").alias("comp"))
-        # of two sets one is the other's pivot, so a tile with no more than two is done
-        open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi and k > 2").select("token")
-        left = written(named.join(open_, "token", "left_semi"), "ngram-open")
+        members = self._differences(members)
+        found = None
+        for k in range(MEDOIDS):
+            size = members.groupBy("hub", "comp").agg(F.count("*").alias("k"))
+            largest = written(size.groupBy("hub").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest")), "ngram-largest")
+            rest = members if k == 0 else written(members.join(largest, "hub").filter("comp <> largest").drop("largest"), "ngram-rest")
+            scored = self._ordered(rest, self._common(rest))
+            medoids = written(scored.groupBy("hub").agg(F.min_by(F.struct("id", "n", "comp", "delta"), F.struct("score", "id")).alias("m")), "ngram-medoids")
+            away = members.join(medoids, "hub")
+            other = F.col("m.delta")
+            moved = F.concat(F.array_except("delta", other), F.array_except(other, F.col("delta"))).alias("moved")
+            # linked if the difference is at most (100 - percent) / (100 + percent) of the sizes' sum
+            linked = (100 + percent) * F.size("moved") <= (100 - percent) * (F.col("n") + F.col("m.n"))
+            away = written(away.select("hub", "id", "n", "comp", "delta", "m", moved).select("*", linked.alias("linked")), "ngram-moved")
+            new = away.filter("linked and comp <> m.comp").select(F.col("id").alias("a"), F.col("m.id").alias("b"), F.col("comp").alias("ca"), F.col("m.comp").alias("cb"))
+            found = new.select("a", "b") if found is None else found.unionAll(new.select("a", "b"))
+            reference = away if k == 0 else reference
+            merged = written(components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "ngram-merged")
+            members = written(members.join(merged, members["comp"] == merged["node"], "left").select("hub", "id", "n", F.coalesce("component", "comp").alias("comp"), "delta"), "ngram-members")
+            before, after = (x.select("hub", "comp").distinct().count() for x in (away, members))
+            # a further medoid is worth its pass over the members while one in eight of the groups goes
+            if after > 0.875 * before:
+                break
+        # the differences from the first medoids, with the groups as they are now
+        now = members.select("id", F.col("comp").alias("now"))
+        moved = reference.join(now, "id").select("hub", "id", "n", F.col("now").alias("comp"), F.col("moved").alias("delta"), F.col("m.n").alias("nh"), "linked")
+        moved = written(moved, "ngram-moved")
+        moved = written(moved.join(_several(moved), "hub", "left_semi"), "ngram-moved")
+        ordered = self._ordered(moved, self._common(moved)).drop("score").join(moved.select("id", "nh", "linked"), "id")
+        ordered = written(ordered.select("*", F.size("delta").cast("long").alias("d")), "ngram-ordered")
+        n, d, nh = F.col("n"), F.col("d"), F.col("nh")
+        up, down = 100 + percent, 100 - percent
+        # the least overlap of differences with a member that isn't linked with the medoid, and of such a member with any
+        with_far = F.floor((up * d + down * (nh - n)) / F.lit(2 * up)) + 1
+        of_far = F.ceil((up * d + 2 * percent - down * (n + nh)) / F.lit(2 * up))
+        def tokens(rows: DataFrame, least: Column, s: str) -> DataFrame:
+            prefix = F.slice("delta", F.lit(1), F.greatest(d - F.greatest(least, F.lit(1)) + 1, F.lit(0)).cast("int"))
+            one = rows.select("hub", "id", "n", "comp", "d", "linked", F.posexplode(prefix).alias("pos", "token"))
+            return one.select("hub", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp", "d", "linked", "pos")])
+
+        far, all_ = tokens(ordered.filter("not linked"), of_far, "1"), tokens(ordered, with_far, "2")
+        differ = F.floor(down * (F.col("n_1") + F.col("n_2")) / F.lit(up))
+        overlap = F.ceil((F.col("d_1") + F.col("d_2") - differ) / F.lit(2))
+        pairs = far.join(all_, ["hub", "token"]).filter(
+            (F.col("comp_1") != F.col("comp_2")) & (F.col("linked_2") | (F.col("id_1") < F.col("id_2")))
+            & (F.least(F.col("d_1") - F.col("pos_1"), F.col("d_2") - F.col("pos_2")) >= overlap)
+        )
+        pairs = written(pairs.select(F.col("id_1").alias("a"), F.col("id_2").alias("b"), overlap.alias("overlap")).distinct(), "ngram-within-pairs")
+        side = lambda s: ordered.select(F.col("id").alias(s), F.col("delta").alias(f"delta{s}"))
+        same = F.size(F.array_intersect("deltaa", "deltab")) >= F.col("overlap")
+        return found.unionAll(pairs.join(side("a"), "a").join(side("b"), "b").filter(same).select("a", "b"))
+
+    def _across(self, left: DataFrame) -> DataFrame:
+        """Pairs (a, b) of open tiles that differ in group and label and may be linked by place, size and folded bitmaps."""
+        percent = self.percent
+        counted = left.groupBy("token", "label").agg(F.count("*").alias("k"))
+        most = counted.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+        left = left.join(most, "token").withColumn("minor", F.col("label") != F.col("most")).join(self.sets.select("id", *FOLDED), "id")
         # the bound of the folded bitmaps is part of the join's condition, so pairs beyond it are not made; nor is a pair
         # that a token earlier in both orders makes: each row has its rank among the rows of its set here, and the first tokens
-        left = left.join(self.sets.select("id", *FOLDED), "id")
         mine = W.partitionBy("id").orderBy("pos")
         whole = mine.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         left = left.select("*", F.row_number().over(mine).alias("rank"), *[F.nth_value("token", k + 1).over(whole).alias(f"h{k}") for k in range(HEAD)])
-        cols = ("id", "n", "pos", "comp", *FOLDED, "rank", *(f"h{k}" for k in range(HEAD)))
-        small = left.select("token", "band", *[F.col(c).alias(f"{c}_1") for c in cols])
-        large = left.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), *[F.col(c).alias(f"{c}_2") for c in cols])
+        left = written(left, "ngram-labelled")
+        cols = ("id", "n", "pos", "comp", "label", *FOLDED, "rank", *(f"h{k}" for k in range(HEAD)))
+        small = left.select("token", "band", "minor", *[F.col(c).alias(f"{c}_1") for c in cols])
+        large = left.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "minor", *[F.col(c).alias(f"{c}_2") for c in cols])
         one, two = ({c: F.col(f"{c}_{k}") for c in cols} for k in (1, 2))
         n1, n2 = one["n"], two["n"]
         need = _need(n1, n2, percent)
@@ -248,11 +392,40 @@ class Join:
         for i in range(HEAD):
             for j in range(HEAD):
                 made = made | (one[f"h{i}"].eqNullSafe(two[f"h{j}"]) & (one["rank"] > i + 1) & (two["rank"] > j + 1))
-        second = small.join(large, ["token", "band"]).filter(
-            (one["comp"] != two["comp"]) & ((n1 < n2) | ((n1 == n2) & (one["id"] < two["id"]))) & close(n1, n2)
+        may = (
+            (one["comp"] != two["comp"]) & (one["label"] != two["label"]) & ((n1 < n2) | ((n1 == n2) & (one["id"] < two["id"]))) & (100 * n1 >= percent * n2)
             & (F.least(n1 - one["pos"], n2 - two["pos"]) >= need) & ~made & (differ <= n1 + n2 - 2 * need)
-        ).select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"))
-        links = links.unionAll(self._verified(second, "ngram-second"))
+        )
+        met = lambda x, y: x.drop("minor").join(y.drop("minor"), ["token", "band"]).filter(may).select(F.col("id_1").alias("a"), F.col("id_2").alias("b"))
+        return met(small.filter("minor"), large).unionAll(met(small.filter("not minor"), large.filter("minor"))).distinct()
+
+    def groups(self) -> DataFrame:
+        """(digest, component, keeper): the smallest doc_id of each set's group, and the row that stands for the group."""
+        tiles = self._tiles()
+        pivots = tiles.groupBy("token", "band").agg(F.max_by("id", F.struct("degree", "id")).alias("pivot"))
+        beside = pivots.unionAll(pivots.withColumn("band", F.col("band") + 1))
+        first = tiles.join(beside, ["token", "band"]).filter(F.col("id") != F.col("pivot")).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+        sizes = F.col("na") + F.col("nb")
+        near = F.greatest(F.col("differ"), F.abs(F.col("na") - F.col("nb"))) <= max(NEAR, (100 - self.percent) / (100 + self.percent)) * sizes
+        near = written(self._compared(first).filter(near), "ngram-near")
+        links = self._verified(near.filter(self._possible()), "ngram-first")
+        group = components(links)
+        named = tiles.join(group, tiles["id"] == group["node"], "left").select("token", "id", "n", "band", "pos", F.coalesce("component", "id").alias("comp"))
+        # of two sets one is the other's pivot, so a tile with no more than two is done
+        open_ = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo <> hi and k > 2").select("token")
+        left = written(named.join(open_, "token", "left_semi"), "ngram-open")
+        clusters = self._clusters(near, left, group)
+        if clusters.take(1):
+            within = written(self._within(clusters), "ngram-within")
+            links = links.unionAll(within)
+            group = components(links)
+        hubs = clusters.select("id", "hub")
+        # a label is a cluster or a group: pairs of one label are settled
+        labelled = left.drop("comp").join(group, F.col("id") == F.col("node"), "left").join(hubs, "id", "left")
+        comp = F.coalesce("component", "id")
+        labelled = labelled.select("token", "id", "n", "band", "pos", comp.alias("comp"), F.coalesce(-F.col("hub") - 1, comp).alias("label"))
+        second = written(self._across(labelled), "ngram-across")
+        links = links.unionAll(self._verified(self._compared(second).filter(self._possible()), "ngram-second"))
         group = components(links)
         member = self.sets.join(group, self.sets["id"] == group["node"], "left").select("digest", "rep", F.coalesce("component", "id").alias("comp"))
         least = member.groupBy("comp").agg(F.min("rep").alias("keeper"))
