@@ -106,7 +106,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         else:
             upto = max(upto, at + 1)
         at = text.find("@", max(at + 1, upto))
-    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))]
+    out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m.group().split(".")))]
     for m in _CARD.finditer(text):
         if 13 <= m.end() - m.start() and 13 <= len(d := _NOT_DIGIT.sub("", m.group())) <= 19 and luhn(d):
             out.append((2, m.start(), m.end()))
