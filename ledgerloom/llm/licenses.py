@@ -2,8 +2,8 @@
 
 The automaton knows every run of words of every template. A text streams through it and gets its matching statistics:
 for each word the longest run ending there that some template has. Matches of `least` words or more are chained for each
-template, forward in the text and in the template, over gaps of up to `gap` words; a chain that covers `share` of a
-template labels the text. The phrases are templates too: a phrase stands wherever the automaton's match ends with the
+template, forward in the text and in the template, over gaps of up to `gap` words, at every place where the template has
+the run; a chain that covers `share` of a template labels the text, once for each stretch of the text that does. The phrases are templates too: a phrase stands wherever the automaton's match ends with the
 whole of it, which the suffix links tell.
 
 Two words that never stand side by side in a template end a match, so a table of hashed word pairs finds the stretches
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.columns import ALNUM, Words, ngrams, text_slices
 from ledgerloom.llm.decontaminate import Sieve
+from ledgerloom.llm.pii import Intervals
 from ledgerloom.shipping import ship
 
 # Phrases and their labels.
@@ -47,22 +48,22 @@ TEMPLATES = {
 
 
 class Automaton:
-    """A suffix automaton of several token sequences. ends[s][t] is the smallest place where a run of state s ends in
-    sequence t, or -1."""
+    """A suffix automaton of several token sequences. ends[s][t] are the places where a run of state s ends in sequence t,
+    in order."""
 
     def __init__(self, sequences: list[list[str]]):
         self.size, self.link, self.next = [0], [-1], [{}]
-        ends: list[dict[int, int]] = [{}]
+        ends: list[dict[int, set[int]]] = [{}]
         for t, tokens in enumerate(sequences):
             last = 0
             for e, c in enumerate(tokens):
                 last = self._extend(last, c, ends)
-                ends[last].setdefault(t, e)
+                ends[last].setdefault(t, set()).add(e)
         for s in sorted(range(1, len(self.size)), key=lambda s: -self.size[s]):  # what ends with a run ends with its suffixes
             up = ends[self.link[s]]
-            for t, e in ends[s].items():
-                up[t] = min(up.get(t, e), e)
-        self.ends = ends
+            for t, places in ends[s].items():
+                up.setdefault(t, set()).update(places)
+        self.ends = [{t: sorted(places) for t, places in x.items()} for x in ends]
 
     def _state(self, size: int, link: int, step: dict, ends: list) -> int:
         self.size.append(size)
@@ -130,9 +131,9 @@ class Scanner:
             if found:
                 self.ending[s] = found
 
-    def stretch(self, tokens: list[str], first: int, places: list, whole: dict, matches: list) -> None:
-        """Adds the phrases' places (label, first word), the last place of whole templates, which may lie within longer
-        matches of others, and the longest matches (first word, last word, state)."""
+    def stretch(self, tokens: list[str], first: int, places: list, whole: list, matches: list) -> None:
+        """Adds the phrases' places (label, first word), those of whole templates (template, first word, last word), which
+        may lie within longer matches of others, and the longest matches (first word, last word, state)."""
         stats = self.automaton.follow(tokens)
         for k, (state, n) in enumerate(stats):
             for p in self.ending.get(state, ()):
@@ -140,33 +141,46 @@ class Scanner:
                 if n >= size and p < len(self.phrases):
                     places.append((self.phrases[p][0], first + k - size + 1))
                 elif n >= size:
-                    whole[p - len(self.phrases)] = (first + k - size + 1, first + k)
+                    whole.append((p - len(self.phrases), first + k - size + 1, first + k))
             if n >= self.least and (k + 1 == len(stats) or stats[k + 1][1] <= n):
                 matches.append((first + k - n + 1, first + k, state))
 
-    def chains(self, matches: list, whole: dict) -> list[tuple[str, int, int, float]]:
-        """(label, first word, last word, share covered) of the best chain of each template that covers enough."""
+    def chained(self, matches: list) -> dict[int, list[tuple[int, int, int, int]]]:
+        """For each template, for each match and place of it, the best chain that ends there: (last word, place in the
+        template, words covered, first word). Matches are in the order of their last words."""
         best: dict[int, list[tuple[int, int, int, int]]] = {}
-        for a, b, state in matches:  # in the order of b
-            for t, e in self.automaton.ends[state].items():
+        for a, b, state in matches:
+            n = b - a + 1
+            for t, places in self.automaton.ends[state].items():
                 if t >= len(self.tokens):
                     continue
-                n, begin = b - a + 1, e - (b - a)
-                score, start = n, a
-                # chains' ends that are near enough, the latest first
-                for pb, pe, ps, pstart in reversed(best.get(t, [])[-8:]):
-                    if a - pb - 1 <= self.gap and pe < e and begin - pe - 1 <= self.gap:
-                        fresh = min(a - 1 - pb, begin - 1 - pe, 0) + n
-                        if fresh > 0 and ps + fresh > score:
-                            score, start = ps + fresh, pstart
-                best.setdefault(t, []).append((b, e, score, start))
-        out = [(self.labels[t], a, b, 1.0) for t, (a, b) in whole.items()]
-        for t, ends in best.items():
-            if t in whole:
-                continue
-            b, _, score, start = max(ends, key=lambda x: (x[2], -x[0]))
-            if score >= self.share * len(self.tokens[t]):
-                out.append((self.labels[t], start, b, min(1.0, score / len(self.tokens[t]))))
+                before, new = best.setdefault(t, []), []
+                for e in places:
+                    begin, score, start = e - n + 1, n, a
+                    for pb, pe, covered, pstart in reversed(before):  # all ends that are near enough, the latest first
+                        if a - pb - 1 > self.gap:
+                            break
+                        if pe < e and begin - pe - 1 <= self.gap:
+                            fresh = min(a - 1 - pb, begin - 1 - pe, 0) + n
+                            if fresh > 0 and covered + fresh > score:
+                                score, start = covered + fresh, pstart
+                    new.append((b, e, score, start))
+                before += new
+        return best
+
+    def chains(self, matches: list, whole: list) -> list[tuple[str, int, int, float]]:
+        """(label, first word, last word, share covered): for each template its whole places and, from the best down, the
+        chains that cover enough, none of which overlaps one before it."""
+        taken: dict[int, Intervals] = {}
+        out = []
+        for t, a, b in whole:
+            if taken.setdefault(t, Intervals([])).add(a, b + 1):
+                out.append((self.labels[t], a, b, 1.0))
+        for t, ends in self.chained(matches).items():
+            enough = [x for x in ends if x[2] >= self.share * len(self.tokens[t])]
+            for b, _, score, start in sorted(enough, key=lambda x: (-x[2], x[0])):
+                if taken.setdefault(t, Intervals([])).add(start, b + 1):
+                    out.append((self.labels[t], start, b, min(1.0, score / len(self.tokens[t]))))
         return out
 
 
@@ -186,7 +200,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
             hit = at[s.pairs.find(grams)[0]]
             places: list[list] = [[] for _ in range(w.n)]
             matches: list[list] = [[] for _ in range(w.n)]
-            wholes: list[dict] = [{} for _ in range(w.n)]
+            wholes: list[list] = [[] for _ in range(w.n)]
             if len(hit):
                 owner = np.searchsorted(w.first, hit, "right") - 1
                 cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(owner) > 0)) + 1
