@@ -16,22 +16,28 @@ w as (select *, regexp_extract_all(t, {_SPACED}) as words, list_filter(string_sp
 grams as (select rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as g from (select rid, words, unnest(range(1, len(words) - 1)) as i from w) as x),
 twice as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as k from grams) as x where k > 1),
 rep as (select rid, count(distinct p) as n from (select rid, unnest([i, i + 1, i + 2]) as p from twice) as x group by rid),
-f as (select w.rid, doc_id, lang, source, cast(len(words) as bigint) as n_words, length(regexp_replace(t, '[ \t\n\v\f\r]+', '', 'g')) as word_chars,
+t1 as (select w.rid, doc_id, lang, source, cast(len(words) as bigint) as n_words, length(regexp_replace(t, '[ \t\n\v\f\r]+', '', 'g')) as word_chars,
   length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, cast(len(lines) as bigint) as n_lines
   from w left join rep on rep.rid = w.rid),
-r as (select *, 1000 * n_symbols // greatest(word_chars, 1) as r1, 1000 * n_dup_lines // greatest(n_lines, 1) as r2, 1000 * n_repeat_words // greatest(n_words, 1) as r3, 100 * word_chars // greatest(n_words, 1) as r4 from f),
-u as (select lang, source, k, v from (select lang, source, unnest([1, 2, 3, 4]) as k, unnest([r1, r2, r3, r4]) as v from r where n_words > 0) as x),
-sketch as (select lang, source, k, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as v, count(*) as n from u group by all),
-cs as (select *, sum(n) over (partition by lang, source, k order by v) as upto, sum(n) over (partition by lang, source, k) as total from sketch),
-qs as (select lang, source, k, max(total) as total, min(v) filter (where 4 * upto >= total) as q1, min(v) filter (where 2 * upto >= total) as q2 from cs group by lang, source, k),
-ls as (select lang, k, v, sum(n) as n from sketch group by all),
-cl as (select *, sum(n) over (partition by lang, k order by v) as upto, sum(n) over (partition by lang, k) as total from ls),
-ql as (select lang, k, min(v) filter (where 4 * upto >= total) as q1, min(v) filter (where 2 * upto >= total) as q2 from cl group by lang, k),
-q as (select qs.lang, qs.source, qs.k, case when qs.total >= 100 then qs.q1 else ql.q1 end as q1, case when qs.total >= 100 then qs.q2 else ql.q2 end as q2 from qs join ql on qs.lang is not distinct from ql.lang and qs.k = ql.k),
-fence as (select lang, source, max(q2 + greatest(30, 6 * (q2 - q1))) filter (where k = 1) as h1, max(q2 + greatest(500, 6 * (q2 - q1))) filter (where k = 2) as h2,
-  max(q2 + greatest(480, 6 * (q2 - q1))) filter (where k = 3) as h3, max(q2 + greatest(200, 6 * (q2 - q1))) filter (where k = 4) as h4, max(q2 - greatest(200, 6 * (q2 - q1))) filter (where k = 4) as l4 from q group by lang, source),
-j as (select r.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, coalesce(r1 <= h1 and r2 <= h2 and r3 <= h3 and r4 <= h4 and r4 >= l4, false) as inside
-  from r left join fence on r.lang is not distinct from fence.lang and r.source is not distinct from fence.source)
+r as (select *, 1000 * n_symbols // greatest(word_chars, 1) as r1, 1000 * n_dup_lines // greatest(n_lines, 1) as r2, 1000 * n_repeat_words // greatest(n_words, 1) as r3, 100 * word_chars // greatest(n_words, 1) as r4,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from t1),
+b as (select *, (r1 >> greatest(length(bin(r1)) - 6, 0)) << greatest(length(bin(r1)) - 6, 0) as b1, (r2 >> greatest(length(bin(r2)) - 6, 0)) << greatest(length(bin(r2)) - 6, 0) as b2, (r3 >> greatest(length(bin(r3)) - 6, 0)) << greatest(length(bin(r3)) - 6, 0) as b3, (r4 >> greatest(length(bin(r4)) - 6, 0)) << greatest(length(bin(r4)) - 6, 0) as b4 from r),
+u as (select lang, source, k, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) as v from
+  (select lang, source, unnest([1, 2, 3, 4]) as k, unnest([r1, r2, r3, r4]) as v from r where not base_failed) as x),
+sketch as (select lang, source, k, v, count(*) as n from u group by all),
+groups as (select lang, source, false as whole, k, v, n from sketch union all select lang, null, true, k, v, sum(n) from sketch group by lang, k, v),
+c as (select *, sum(n) over (w order by v) as upto, sum(n) over w as total, lead(v) over (w order by v) as above, lag(v) over (w order by v) as below, case when k in (2, 3) then 980 else 900 end as share, case k when 1 then 20 when 2 then 50 else 30 end as unit from groups window w as (partition by lang, source, whole, k)),
+m as (select *, min(v) filter (where 2 * upto >= total) over (partition by lang, source, whole, k) as mid from c),
+f as (select lang, source, whole, k, any_value(total) as total, any_value(mid) as mid, min(v) filter (where 1000 * upto >= share * total) as edge, max(v) filter (where 1000 * (total - upto + n) >= share * total) as low_edge,
+  min(struct_pack(pos := v, gap := above - v)) filter (where 1000 * upto >= share * total and above - v >= greatest(unit, v - mid)) as hi,
+  max(struct_pack(pos := v, gap := v - below)) filter (where 1000 * (total - upto + n) >= share * total and v - below >= greatest(unit, mid - v)) as lo
+  from m group by lang, source, whole, k),
+g as (select lang, source, whole, k, total, mid, edge, low_edge, hi.pos + hi.gap // 2 as hi, lo.pos - lo.gap // 2 as lo from f),
+own as (select o.lang, o.source, o.k,
+  case when o.total < 100 or (o.edge > l.hi and o.mid <= l.hi) then l.hi else o.hi end as hi, case when o.total < 100 or (o.low_edge < l.lo and o.mid >= l.lo) then l.lo else o.lo end as lo
+  from g as o join g as l on l.whole and not o.whole and o.lang is not distinct from l.lang and o.k = l.k),
+j as (select r.*, not exists (select 1 from own where r.lang is not distinct from own.lang and r.source is not distinct from own.source
+  and (case own.k when 1 then b1 when 2 then b2 when 3 then b3 else b4 end > own.hi or (own.k = 4 and b4 < own.lo))) as inside from b as r)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and inside as kept from j
 """
 

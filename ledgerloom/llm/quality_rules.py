@@ -2,8 +2,14 @@
 
 Every document gets a few rates as integers. A sketch of a rate is a count for each of its buckets (a value keeps its
 six leading binary digits, so a bucket is within 1/32 of its values); sketches merge by adding counts, so Spark builds
-them by partial aggregation and a hot source costs one row a bucket and task. A language's sketch is the sum of those of
-its sources, and stands in for a source of under `min_rows` documents. The fences around the median are then joined to
+them by partial aggregation and a hot source costs one row a bucket and task. Only documents that pass the base rules are
+in them. A language's sketch is the sum of those of its sources.
+
+A fence stands where a sketch has a gap: from the quantile up that a `share` of the documents lies within, the first
+empty stretch that is at least as wide as the way from the median to its beginning, and at least `unit`; the fence is in
+its middle. So what lies apart from the rest of its source goes, and a source without such documents has no fence.
+A source of under `min_rows` documents has the fences of its language, and so has one that is full of outliers: its
+median lies within the language's fence but more of it than the share allows lies beyond. The fences are then joined to
 the documents. All of it is DataFrame operations.
 
 A null or empty text has no words and fails. Null languages and sources are groups of their own. Repeated rows and
@@ -21,10 +27,8 @@ from ledgerloom.llm.store import written
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: rate: least distance of the fences from the median, and whether there is a lower fence.
-MARGINS = {"symbols": (30, False), "dup_lines": (500, False), "repeats": (480, False), "word_length": (200, True)}
-#: Fences stand at least so many times the distance from the lower quartile to the median away.
-SPREAD = 6
+#: rate: thousandths of the documents that are always inside, the narrowest gap that counts, whether there is a lower fence.
+GAPS = {"symbols": (900, 20, False), "dup_lines": (980, 50, False), "repeats": (980, 30, False), "word_length": (900, 30, True)}
 #: The most rows of fences that are broadcast (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 
@@ -76,29 +80,38 @@ def bucket(v: Column) -> Column:
     return let(shift, lambda s: F.call_function("shiftleft", F.call_function("shiftright", v, s), s))
 
 
+def base_failed() -> Column:
+    return F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+
+
 def fences(features: DataFrame, min_rows: int = 100) -> DataFrame:
-    """For each language and source the fences of every rate: columns <rate>_lo and <rate>_hi."""
-    # a filter on counts, or one that Spark infers for explode(), would move below them and measure every text twice
-    listed = F.when(F.col("n_words") > 0, F.array(*[F.struct(F.lit(k).alias("rate"), v.alias("v")) for k, v in rates().items()]))
-    one = features.select("lang", "source", F.explode_outer(listed).alias("x")).filter("x is not null")
-    sketch = one.groupBy("lang", "source", F.col("x.rate").alias("rate"), bucket(F.col("x.v")).alias("v")).agg(F.count("*").alias("n"))
+    """For each language and source the fences of every rate, null where there is none: columns <rate>_lo and <rate>_hi."""
+    listed = F.array(*[F.struct(F.lit(k).alias("rate"), F.lit(share).alias("share"), F.lit(unit).alias("unit"), v.alias("v")) for (k, v), (share, unit, _) in zip(rates().items(), GAPS.values(), strict=True)])
+    one = features.filter(~base_failed()).select("lang", "source", F.explode(listed).alias("x"))
+    sketch = one.groupBy("lang", "source", "x.rate", "x.share", "x.unit", bucket(F.col("x.v")).alias("v")).agg(F.count("*").alias("n"))
 
-    def quartiles(s: DataFrame, keys: list[str]) -> DataFrame:
+    def gaps(s: DataFrame, keys: list[str]) -> DataFrame:
         w = W.partitionBy(*keys, "rate")
-        ranked = s.withColumn("upto", F.sum("n").over(w.orderBy("v").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-        return ranked.groupBy(*keys, "rate").agg(F.max("all").alias("all"), F.min(F.when(F.expr("4 * upto >= all"), F.col("v"))).alias("q1"), F.min(F.when(F.expr("2 * upto >= all"), F.col("v"))).alias("q2"))
-
-    sources = quartiles(sketch, ["lang", "source"])
-    langs = quartiles(sketch.groupBy("lang", "rate", "v").agg(F.sum("n").alias("n")), ["lang"]).select(F.col("lang").alias("lang_"), F.col("rate").alias("rate_"), F.col("q1").alias("lang_q1"), F.col("q2").alias("lang_q2"))
-    both = sources.join(langs, F.expr("lang <=> lang_ and rate = rate_"))
-    own = F.col("all") >= min_rows
-    at = both.select("lang", "source", "rate", F.when(own, F.col("q1")).otherwise(F.col("lang_q1")).alias("q1"), F.when(own, F.col("q2")).otherwise(F.col("lang_q2")).alias("q2"))
+        up = w.orderBy("v")
+        ranked = s.select("*", F.sum("n").over(up.rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("all"), F.lead("v").over(up).alias("above"), F.lag("v").over(up).alias("below"))
+        placed = ranked.withColumn("mid", F.min(F.when(F.expr("2 * upto >= all"), F.col("v"))).over(w))
+        high, low = F.expr("1000 * upto >= share * all"), F.expr("1000 * (all - upto + n) >= share * all")
+        return placed.groupBy(*keys, "rate").agg(
+            F.max("all").alias("all"), F.max("mid").alias("mid"), F.min(F.when(high, F.col("v"))).alias("edge"), F.max(F.when(low, F.col("v"))).alias("low_edge"),
+            F.min(F.when(high & F.expr("above - v >= greatest(unit, v - mid)"), F.struct("v", F.expr("v + (above - v) div 2").alias("at"))))["at"].alias("hi"),
+            F.max(F.when(low & F.expr("v - below >= greatest(unit, mid - v)"), F.struct("v", F.expr("v - (v - below) div 2").alias("at"))))["at"].alias("lo"),
+        )
+
+    langs = gaps(sketch.groupBy("lang", "rate", "share", "unit", "v").agg(F.sum("n").alias("n")), ["lang"])
+    langs = langs.select(F.col("lang").alias("lang_"), F.col("rate").alias("rate_"), F.col("hi").alias("lang_hi"), F.col("lo").alias("lang_lo"))
+    both = gaps(sketch, ["lang", "source"]).join(langs, F.expr("lang <=> lang_ and rate = rate_"))
+    few = F.col("all") < min_rows
+    hi = F.when(few | F.coalesce(F.expr("edge > lang_hi and mid <= lang_hi"), F.lit(False)), F.col("lang_hi")).otherwise(F.col("hi"))
+    lo = F.when(few | F.coalesce(F.expr("low_edge < lang_lo and mid >= lang_lo"), F.lit(False)), F.col("lang_lo")).otherwise(F.col("lo"))
+    at = both.select("lang", "source", "rate", hi.alias("hi"), lo.alias("lo"))
     aggs = []
-    for k, (margin, lower) in MARGINS.items():
-        away = F.greatest(F.lit(margin).cast("long"), SPREAD * (F.col("q2") - F.col("q1")))
-        aggs.append(F.max(F.when(F.col("rate") == k, F.col("q2") + away)).alias(f"{k}_hi"))
-        if lower:
-            aggs.append(F.max(F.when(F.col("rate") == k, F.col("q2") - away)).alias(f"{k}_lo"))
+    for k, (_, _, lower) in GAPS.items():
+        aggs += [F.max(F.when(F.col("rate") == k, F.col(side))).alias(f"{k}_{side}") for side in (("hi", "lo") if lower else ("hi",))]
     return at.groupBy("lang", "source").agg(*aggs)
 
 
@@ -108,14 +121,12 @@ def judged(features: DataFrame, found: DataFrame) -> DataFrame:
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         f = F.broadcast(f)
     joined = features.join(f, F.expr("lang <=> lang_ and source <=> source_"), "left")
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     inside = F.lit(True)
     for k, v in rates().items():
-        inside = inside & (v <= F.col(f"{k}_hi"))
-        if MARGINS[k][1]:
-            inside = inside & (v >= F.col(f"{k}_lo"))
-    # one expression over both sides: a conjunct on the counts alone would move below the join and measure texts again
-    return joined.withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(inside, F.lit(False)))).drop("lang_", "source_")
+        inside = inside & F.coalesce(bucket(v) <= F.col(f"{k}_hi"), F.lit(True))
+        if GAPS[k][2]:
+            inside = inside & F.coalesce(bucket(v) >= F.col(f"{k}_lo"), F.lit(True))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("lang_", "source_")
 
 
 def verdicts(docs: DataFrame, min_rows: int = 100) -> DataFrame:
@@ -125,11 +136,11 @@ def verdicts(docs: DataFrame, min_rows: int = 100) -> DataFrame:
 
 
 def keep(docs: DataFrame, min_rows: int = 100) -> DataFrame:
-    """The documents that are kept, with their columns. The texts are measured a second time where they are read
-    instead of being shuffled to their verdicts."""
-    found = written(fences(measured(docs), min_rows), "quality-fences")
+    """The documents that are kept, with their columns. Rows are written with their counts once, so that texts are
+    measured once and never shuffled to their verdicts."""
     names = docs.columns
     # judged() sees the row's own columns only as one struct, so no name of theirs can clash
     row = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row_"))
-    counted = measured(row.select(F.col("row_").alias("doc_id"), F.col("row_.lang").alias("lang"), F.col("row_.source").alias("source"), F.col("row_.text").alias("text")))
+    counted = written(measured(row.select(F.col("row_").alias("doc_id"), F.col("row_.lang").alias("lang"), F.col("row_.source").alias("source"), F.col("row_.text").alias("text"))), "quality-rows")
+    found = written(fences(counted.drop("doc_id"), min_rows), "quality-fences")
     return judged(counted, found).filter("kept").select(*[F.col(f"doc_id.`{c}`").alias(c) for c in names])
