@@ -1,8 +1,8 @@
 """The fold of one book: ordered commands in, events out. Plain Python, no Spark.
 
 Price levels are a sorted list of prices and a dict of queues; a queue is a dict from id to [quantity, arrival], which
-keeps arrival order and deletes in constant time, beside the level's total. Events are flat tuples of codes, so whole
-batches become Arrow columns without per-event objects.
+keeps arrival order and deletes in constant time, beside the level's total. Events are told to a tape: for each kind one
+flat run of the numbers that the kind has, so whole batches become Arrow columns without per-event objects.
 """
 
 from __future__ import annotations
@@ -25,6 +25,39 @@ MASK = (1 << 64) - 1
 EVENT_FIELDS = ("event_code", "command_seq", "event_seq", "id", "resting_id", "side_code", "type_code", "tif_code", "price", "quantity", "reason_code", "engine_initiated", "bid_price", "bid_qty", "ask_price", "ask_qty")
 
 
+#: Of each kind of event the places in EVENT_FIELDS that it has, in the order of the tape; the others are null.
+FIELDS = {
+    ACCEPTED: (1, 2, 3, 5, 6, 7, 8, 9), REJECTED: (1, 2, 3, 10), TRADE: (1, 2, 3, 4, 5, 8, 9), RESTING: (1, 2, 3, 5, 8, 9), CANCELLED: (1, 2, 3, 5, 8, 9, 11), CANCEL_REJECTED: (1, 2, 3, 10), TOB: (1, 2, 12, 13, 14, 15),
+}
+#: Stands for null on a tape: no field of an event has it.
+NULL = -(1 << 63)
+
+
+class Tape:
+    """Events by kind. make: what holds a kind's numbers, by default a list, which takes any integer."""
+
+    __slots__ = ("kinds",)
+
+    def __init__(self, make=list):
+        self.kinds = tuple(make() for _ in FIELDS)
+
+    def __len__(self) -> int:
+        return sum(len(self.kinds[k]) // len(at) for k, at in FIELDS.items())
+
+    def events(self) -> list[tuple]:
+        """The events as tuples of EVENT_FIELDS, in sequence."""
+        out = []
+        for kind, at in FIELDS.items():
+            flat = iter(self.kinds[kind])
+            for values in zip(*[flat] * len(at), strict=True):
+                e = [None] * len(EVENT_FIELDS)
+                e[0] = kind
+                for k, v in zip(at, values, strict=True):
+                    e[k] = None if v == NULL else bool(v) if k == 11 else v
+                out.append(tuple(e))
+        return sorted(out, key=lambda e: e[2])
+
+
 def fnv(h: int, data: bytes) -> int:
     for b in data:
         h = ((h ^ b) * FNV_PRIME) & MASK
@@ -124,18 +157,17 @@ class BookFold:
 
     # commands
 
-    def cancel(self, oid: int, out: list) -> None:
+    def cancel(self, oid: int, out: Tape) -> None:
         self.command_seq += 1
         found = self.take(oid)
         self.event_seq += 1
         if found is None:
-            out.append((CANCEL_REJECTED, self.command_seq, self.event_seq, oid, None, None, None, None, None, None, UNKNOWN, None, None, None, None, None))
+            out.kinds[CANCEL_REJECTED].extend((self.command_seq, self.event_seq, oid, UNKNOWN))
             return
-        side, price, quantity = found
-        out.append((CANCELLED, self.command_seq, self.event_seq, oid, None, side, None, None, price, quantity, None, False, None, None, None, None))
+        out.kinds[CANCELLED].extend((self.command_seq, self.event_seq, oid, *found, False))
         self._tell_top(out)
 
-    def new(self, oid: int, instrument: int, side: int, kind: int, tif: int, price: int, quantity: int, out: list) -> None:
+    def new(self, oid: int, instrument: int, side: int, kind: int, tif: int, price: int, quantity: int, out: Tape) -> None:
         self.command_seq = cmd = self.command_seq + 1
         self.event_seq = seq = self.event_seq + 1
         reason = 0
@@ -150,13 +182,14 @@ class BookFold:
         elif oid in self.where:
             reason = DUPLICATE
         if reason:
-            out.append((REJECTED, cmd, seq, oid, None, None, None, None, None, None, reason, None, None, None, None, None))
+            out.kinds[REJECTED].extend((cmd, seq, oid, reason))
             return
-        out.append((ACCEPTED, cmd, seq, oid, None, side, kind, tif, price, quantity, None, None, None, None, None, None))
+        out.kinds[ACCEPTED].extend((cmd, seq, oid, side, kind, tif, price, quantity))
         left = quantity
         other = 1 - side
         prices, levels, where = self.prices[other], self.levels[other], self.where
         limit = price if other == SELL else -price  # in the other side's keys
+        tell = out.kinds[TRADE].extend
         while left and prices:
             key = prices[0]
             if kind == LIMIT and key > limit:
@@ -170,7 +203,7 @@ class BookFold:
                 left -= fill
                 level[0] -= fill
                 seq += 1
-                out.append((TRADE, cmd, seq, oid, rid, side, None, None, traded, fill, None, None, None, None, None, None))
+                tell((cmd, seq, oid, rid, side, traded, fill))
                 if fill == order[0]:
                     gone.append(rid)
                 else:
@@ -191,18 +224,18 @@ class BookFold:
             if kind == LIMIT and tif == GTC:
                 self.arrivals += 1
                 self.rest(oid, side, price, left, self.arrivals)
-                out.append((RESTING, cmd, seq, oid, None, side, None, None, price, left, None, None, None, None, None, None))
+                out.kinds[RESTING].extend((cmd, seq, oid, side, price, left))
             else:
-                out.append((CANCELLED, cmd, seq, oid, None, side, None, None, price, left, None, True, None, None, None, None))
+                out.kinds[CANCELLED].extend((cmd, seq, oid, side, price, left, True))
         self.event_seq = seq
         self._tell_top(out)
 
-    def _tell_top(self, out: list) -> None:
+    def _tell_top(self, out: Tape) -> None:
         top = self.now()
         if top != self.top:
             self.top = top
             self.event_seq += 1
-            out.append((TOB, self.command_seq, self.event_seq, None, None, None, None, None, None, None, None, None, *top))
+            out.kinds[TOB].extend((self.command_seq, self.event_seq, *(NULL if v is None else v for v in top)))
 
     # state
 
@@ -312,12 +345,17 @@ def generated(seed: int, count: int, swap_pop: bool = False) -> list[tuple]:
     return out
 
 
-def run(fold: BookFold, commands: list[tuple], instrument: int | None = None) -> list[tuple]:
-    """Applies generated() commands; returns the events."""
-    out: list[tuple] = []
+def apply(fold: BookFold, commands: list[tuple], tape: Tape, instrument: int | None = None) -> None:
+    """Applies generated() commands; the events go to the tape."""
     for c in commands:
         if len(c) == 1:
-            fold.cancel(c[0], out)
+            fold.cancel(c[0], tape)
         else:
-            fold.new(c[0], fold.instrument if instrument is None else instrument, *c[1:], out)
-    return out
+            fold.new(c[0], fold.instrument if instrument is None else instrument, *c[1:], tape)
+
+
+def run(fold: BookFold, commands: list[tuple], instrument: int | None = None) -> list[tuple]:
+    """Applies generated() commands; returns the events."""
+    tape = Tape()
+    apply(fold, commands, tape, instrument)
+    return tape.events()

@@ -8,15 +8,18 @@ the number of books, and a hot book costs one task as long as its commands last.
 
 from __future__ import annotations
 
+import json
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import codes
 from ledgerloom.operators import fold as fold_
-from ledgerloom.operators.fold import EVENT_FIELDS, BookFold, Snapshot
+from ledgerloom.operators.fold import EVENT_FIELDS, FIELDS, NULL, BookFold, Snapshot, Tape
 from ledgerloom.shipping import ship
 
 COMMANDS = "book long, seq long, kind string, id long, instrument long, side string, type string, tif string, price long, quantity long"
@@ -25,90 +28,104 @@ SNAPSHOTS = f"book long, last_seq long, instrument long, command_seq long, event
 #: Events that one Arrow batch of the fold's output holds, about.
 BATCH_EVENTS = 50_000
 
-_NULL = -(1 << 63)
-#: Of each kind of event the fields that it has; the others are null, and no Python value is made for them.
-_HAS = {
-    fold_.ACCEPTED: (1, 2, 3, 5, 6, 7, 8, 9), fold_.REJECTED: (1, 2, 3, 10), fold_.TRADE: (1, 2, 3, 4, 5, 8, 9), fold_.RESTING: (1, 2, 3, 5, 8, 9), fold_.CANCELLED: (1, 2, 3, 5, 8, 9, 11),
-    fold_.CANCEL_REJECTED: (1, 2, 3, 10), fold_.TOB: (1, 2, 12, 13, 14, 15),
-}
 _ORDER = pa.struct([("id", pa.int64()), ("side", pa.int64()), ("price", pa.int64()), ("quantity", pa.int64()), ("arrival", pa.int64())])
 _TOP = pa.struct([(n, pa.int64()) for n in ("bid_price", "bid_qty", "ask_price", "ask_qty")])
 
 
 def ordered(commands: DataFrame, initial: DataFrame | None = None) -> DataFrame:
-    """Commands as codes, with their book's in one partition and in sequence. A book's initial snapshot comes first."""
+    """Commands as codes (none: a cancel), with their book's in one partition and in sequence. A book's initial snapshot
+    comes first."""
     c = F.col
+    code = lambda name, names: F.coalesce(codes.code_of(c(name), names), F.lit(0))
+    # side, type, time in force and whether the instrument is another one, in bits: fewer columns cost less on their way
+    packed = code("side", codes.SIDES) + 2 * code("type", codes.TYPES) + 4 * code("tif", codes.TIFS) + F.when(c("instrument").eqNullSafe(c("book")), 0).otherwise(8)
     rows = commands.select(
-        c("book").cast("long").alias("book"), c("seq").cast("long").alias("seq"), c("id").cast("long").alias("id"), c("instrument").cast("long").alias("instrument"),
-        F.when(c("kind") == "N", codes.code_of(c("side"), codes.SIDES)).cast("long").alias("side"), codes.code_of(c("type"), codes.TYPES).cast("long").alias("type"), codes.code_of(c("tif"), codes.TIFS).cast("long").alias("tif"),
-        c("price").cast("long").alias("price"), c("quantity").cast("long").alias("quantity"),
+        *[c(n).cast("long").alias(n) for n in ("book", "seq", "id")], F.when(c("kind") == "N", packed).cast("long").alias("code"), *[c(n).cast("long").alias(n) for n in ("price", "quantity")],
     )
-    state = "struct<last_seq:long,instrument:long,command_seq:long,event_seq:long,arrivals:long,top:struct<bid_price:long,bid_qty:long,ask_price:long,ask_qty:long>,orders:array<struct<id:long,side:long,price:long,quantity:long,arrival:long>>,event_hash:decimal(20,0)>"
-    rows = rows.withColumn("state", F.expr(f"cast(null as {state})"))
+    # a snapshot travels as text: a nested column would cost every command more than its fold, as Spark sizes all its
+    # parts for each row of an Arrow batch
+    rows = rows.withColumn("state", F.lit(None).cast("string"))
     if initial is not None:
-        side = F.transform("orders", lambda o: F.struct(o["id"].alias("id"), codes.code_of(o["side"], codes.SIDES).cast("long").alias("side"), o["price"].alias("price"), o["quantity"].alias("quantity"), o["arrival"].alias("arrival")))
-        first = initial.select("book", F.lit(-1).cast("long").alias("seq"), F.struct("last_seq", "instrument", "command_seq", "event_seq", "arrivals", F.col("last_top").alias("top"), side.alias("orders"), "event_hash").cast(state).alias("state"))
-        rows = rows.unionByName(first, allowMissingColumns=True)
+        side = F.transform("orders", lambda o: F.array(o["id"], codes.code_of(o["side"], codes.SIDES).cast("long"), o["price"], o["quantity"], o["arrival"]))
+        top = F.array(*[F.col("last_top")[n] for n in ("bid_price", "bid_qty", "ask_price", "ask_qty")])
+        state = F.to_json(F.struct("last_seq", "instrument", "command_seq", "event_seq", "arrivals", top.alias("top"), side.alias("orders"), F.col("event_hash").cast("string").alias("event_hash")))
+        rows = rows.unionByName(initial.select("book", F.lit(-1).cast("long").alias("seq"), state.alias("state")), allowMissingColumns=True)
     # a number of its own, or Spark would merge small partitions and fold many books in one task; more than there are
     # cores, so that books that share a partition by their hash delay few others
     n = max(int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * commands.sparkSession.sparkContext.defaultParallelism)
     return rows.repartition(n, "book").sortWithinPartitions("book", "seq")
 
 
-def _folds(batches: Iterator[pa.RecordBatch], hashed: bool) -> Iterator[tuple[int, BookFold, list, int, int | None, bool]]:
+def _folds(batches: Iterator[pa.RecordBatch], hashed: bool) -> Iterator[tuple[int, BookFold, Tape, int, int | None, bool]]:
     """(book, fold, events since the last time, last seq, hash of all events, whether the book is done)."""
     book = fold = None
     last = 0
-    out: list[tuple] = []
+    new_tape = lambda: Tape(lambda: array("q"))
+    out = new_tape()
     h: int | None = None
     for batch in batches:
         # nulls become a number that no column has: lists of numbers are made far faster from numpy
-        cols = [batch.column(k).fill_null(_NULL).to_numpy().tolist() for k in range(9)]
-        states = batch.column(9) if batch.column(9).null_count < batch.num_rows else None
-        for k, (b, seq, oid, instrument, side, kind, tif, price, quantity) in enumerate(zip(*cols, strict=True)):
+        cols = [batch.column(k).fill_null(NULL).to_numpy() for k in range(6)]
+        kinds = ((cols[3] >> bit & 1).tolist() for bit in range(4))
+        states = batch.column(6) if batch.column(6).null_count < batch.num_rows else None
+        for k, (b, seq, oid, code, price, quantity, side, kind, tif, foreign) in enumerate(zip(*(x.tolist() for x in cols), *kinds, strict=True)):
             if b != book or fold is None:
                 if fold is not None:
-                    yield book, fold, out, last, (fold_.hash_events(out, h) if hashed else None), True
-                book, fold, out, last, h = b, BookFold(b), [], 0, fold_.FNV_OFFSET
+                    yield book, fold, out, last, (fold_.hash_events(out.events(), h) if hashed else None), True
+                book, fold, out, last, h = b, BookFold(b), new_tape(), 0, fold_.FNV_OFFSET
             if states is not None and states[k].is_valid:
-                s = states[k].as_py()
-                ok = fold.restore(Snapshot(s["instrument"], s["command_seq"], s["event_seq"], s["arrivals"], tuple(s["top"].values()), [tuple(o.values()) for o in s["orders"]]))
-                if not ok:
+                # absent values are null in arrays only, so the fields that may lack are asked for by name
+                s = json.loads(states[k].as_py())
+                if not fold.restore(Snapshot(s["instrument"], s["command_seq"], s["event_seq"], s["arrivals"], tuple(s["top"]), [tuple(o) for o in s["orders"]])):
                     raise ValueError(f"the snapshot of book {b} is not valid")
-                h = int(s["event_hash"]) if s["event_hash"] is not None else fold_.FNV_OFFSET
+                h = int(s.get("event_hash") or fold_.FNV_OFFSET)
                 last = s["last_seq"]
                 continue
-            if side == _NULL:
+            if code == NULL:
                 fold.cancel(oid, out)
             else:
-                fold.new(oid, instrument, side, kind, tif, price, quantity, out)
+                fold.new(oid, NULL if foreign else b, side, kind, tif, price, quantity, out)
             last = seq
         if len(out) >= BATCH_EVENTS:
             if hashed:
-                h = fold_.hash_events(out, h)
+                h = fold_.hash_events(out.events(), h)
             yield book, fold, out, last, h, False
-            out = []
+            out = new_tape()
     if fold is not None:
-        yield book, fold, out, last, (fold_.hash_events(out, h) if hashed else None), True
+        yield book, fold, out, last, (fold_.hash_events(out.events(), h) if hashed else None), True
+
+
+def _batch(book: int, tape: Tape) -> pa.RecordBatch | None:
+    """The events of a tape, kind by kind, in one batch."""
+    flat = {k: np.frombuffer(tape.kinds[k], np.int64).reshape(-1, len(at)) for k, at in FIELDS.items() if len(tape.kinds[k])}
+    if not flat:
+        return None
+    n = sum(len(x) for x in flat.values())
+    cols = []
+    for place, name in enumerate(EVENT_FIELDS):
+        values, none = np.zeros(n, np.int64), np.ones(n, bool)
+        at = 0
+        for kind, x in flat.items():
+            part = slice(at, at + len(x))
+            if place == 0:
+                values[part], none[part] = kind, False
+            elif place in FIELDS[kind]:
+                values[part] = x[:, FIELDS[kind].index(place)]
+                none[part] = values[part] == NULL if place >= 12 else False
+            at += len(x)
+        cols.append(pa.array(values.astype(bool) if name == "engine_initiated" else values, mask=none))
+    return pa.record_batch([pa.array(np.full(n, book)), *cols], names=["book", *EVENT_FIELDS])
 
 
 def match(commands: DataFrame, initial: DataFrame | None = None, text: bool = True) -> DataFrame:
     """The events of all books: book, event_seq, command_seq, event_type, id, ..., and their line of text. Rows come in no
     order; event_seq has it."""
     ship(commands.sparkSession)
-    kinds = [pa.bool_() if n == "engine_initiated" else pa.int64() for n in EVENT_FIELDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for book, _, events, _, _, _ in _folds(batches, False):
-            by_kind: dict[int, list] = {}
-            for e in events:
-                by_kind.setdefault(e[0], []).append(e)
-            for kind, part in by_kind.items():
-                cols = [pa.nulls(len(part), t) for t in kinds]
-                values = list(zip(*part, strict=True))
-                for k in (0, *_HAS[kind]):
-                    cols[k] = pa.array(values[k], kinds[k])
-                yield pa.record_batch([pa.array([book] * len(part), pa.int64()), *cols], names=["book", *EVENT_FIELDS])
+            if (batch := _batch(book, events)) is not None:
+                yield batch
 
     schema = "book long, " + ", ".join(f"{n} {'boolean' if n == 'engine_initiated' else 'long'}" for n in EVENT_FIELDS)
     c = F.col

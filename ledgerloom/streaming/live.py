@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerloom.functions import codes
-from ledgerloom.operators.fold import EVENT_FIELDS, BookFold
+from ledgerloom.operators.fold import EVENT_FIELDS, BookFold, Tape
 from ledgerloom.shipping import ship
 from ledgerloom.sources import binary
 
@@ -50,7 +50,7 @@ class Matcher(StatefulProcessor):
         book = int(key[0])
         fold, expected = self._load(book)
         begun = expected
-        out: list[tuple] = []
+        out = Tape()
         ready: dict[int, tuple] = {}
         for part in rows:
             part = part.astype(object).where(part.notna(), None)
@@ -76,8 +76,8 @@ class Matcher(StatefulProcessor):
                 self.waiting.updateValue((seq,), tuple(int(v) if k in ("id", "instrument", "price", "quantity") and v is not None else v for k, v in zip(("kind", *_FIELDS), command, strict=True)))
         if expected > begun:
             self._save(fold, expected)
-        if out:
-            found = pd.DataFrame(out, columns=list(EVENT_FIELDS), dtype=object)
+        if len(out):
+            found = pd.DataFrame(out.events(), columns=list(EVENT_FIELDS), dtype=object)
             found.insert(0, "book", book)
             yield found
 
