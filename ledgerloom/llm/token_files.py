@@ -3,11 +3,17 @@
 A file is in the public seekable format of zstandard: any zstandard tool can decompress it, and a reader that knows the
 table decompresses only the frames that it needs.
 
-    frame 0 ... k-1   the ids of the documents one after another, 32 bits, little-endian, `frame_ids` in each but the last
-    frame k           the directory: n (64 bits), n doc_ids (64 bits), n bytes (1: the doc_id is null), n ends in ids (64 bits)
+    data frames       the ids of the documents one after another, 32 bits, little-endian, `frame_ids` in each but the last
+    directory frames  among the data frames, one for every `directory_docs` documents: n (64 bits), n doc_ids (64 bits), n
+                      bytes (1: the doc_id is null), n ends in ids (64 bits)
+    index frame       the last one: for each directory its frame, its documents, the ids before it, its first and its last
+                      doc_id, and whether these are null, 64 bits each
     skippable frame   0x184D2A5E, its size; for each frame its compressed and its decompressed size and the low 32 bits
                       of the XXH64 of its content; the number of frames, 0x80 (checksums are there), 0x8F92EAB1
 
+A reader of one document decompresses the index, the directories that can have its doc_id, and its data frames. A writer
+holds one frame and one directory.
+
 Files hold documents in ascending order of doc_id, nulls first, and shard s lies before shard s + 1. Repeated doc_ids
 are documents of their own, ordered by text. Null texts are empty. An empty table has no files. A file is written under
 the attempt's own name and then moved, so a task that runs again after a lost executor does no harm.
@@ -43,14 +49,16 @@ def file_system(uri: str):
 class Writer:
     """Writes one file to an open stream."""
 
-    def __init__(self, out, frame_ids: int = 1 << 16, level: int = 3):
+    def __init__(self, out, frame_ids: int = 1 << 16, level: int = 3, directory_docs: int = 1 << 14):
         import zstandard
 
-        self.out, self.frame_ids, self.table = out, frame_ids, []
+        self.out, self.frame_ids, self.directory_docs = out, frame_ids, directory_docs
+        self.table: list[tuple[int, int, int]] = []
         self.z = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.held: list[np.ndarray] = []
-        self.n_held = self.n_ids = 0
-        self.docs: list[tuple[int | None, int]] = []
+        self.n_held = self.n_ids = self.n_docs = self.n_listed = 0
+        self.docs: list[tuple[int | None, int]] = []  # not in a directory yet: doc_id, end
+        self.index: list[tuple[int, ...]] = []
 
     def _frame(self, content: bytes) -> None:
         import xxhash
@@ -59,8 +67,16 @@ class Writer:
         self.out.write(packed)
         self.table.append((len(packed), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
 
+    def _directory(self) -> None:
+        part, self.docs = self.docs[: self.directory_docs], self.docs[self.directory_docs :]
+        keys, ends = [d for d, _ in part], [e for _, e in part]
+        self.index.append((len(self.table), len(part), self.n_listed, keys[0] or 0, keys[-1] or 0, keys[0] is None, keys[-1] is None))
+        self._frame(struct.pack("<q", len(keys)) + np.array([d or 0 for d in keys], "<i8").tobytes() + bytes(d is None for d in keys) + np.array(ends, "<i8").tobytes())
+        self.n_listed = ends[-1]
+
     def add(self, doc_ids: list, ids: np.ndarray, bounds: np.ndarray) -> None:
         self.docs += zip(doc_ids, (self.n_ids + bounds[1:]).tolist(), strict=True)
+        self.n_docs += len(doc_ids)
         self.n_ids += len(ids)
         self.held.append(ids)
         self.n_held += len(ids)
@@ -70,17 +86,30 @@ class Writer:
                 self._frame(joined[at : at + self.frame_ids].tobytes())
                 at += self.frame_ids
             self.held, self.n_held = [joined[at:]], len(joined) - at
+        while len(self.docs) >= self.directory_docs:
+            self._directory()
 
     def close(self) -> None:
         if self.n_held:
             self._frame(np.concatenate(self.held).astype("<u4").tobytes())
-        keys = [d for d, _ in self.docs]
-        self._frame(struct.pack("<q", len(keys)) + np.array([d or 0 for d in keys], "<i8").tobytes() + bytes(d is None for d in keys) + np.array([e for _, e in self.docs], "<i8").tobytes())
+        if self.docs:
+            self._directory()
+        self._frame(np.array(self.index, "<i8").tobytes())
         self.out.write(struct.pack("<II", SKIPPABLE, 12 * len(self.table) + 9))
         self.out.write(b"".join(struct.pack("<III", *x) for x in self.table))
         self.out.write(struct.pack("<IBI", len(self.table), 0x80, SEEKABLE))
 
 
+class Directory:
+    """Some documents in a row: doc_ids, nulls, and their bounds in ids of the file."""
+
+    def __init__(self, content: bytes, before: int):
+        k = struct.unpack_from("<q", content)[0]
+        self.doc_ids = np.frombuffer(content, "<i8", k, 8)
+        self.nulls = np.frombuffer(content, np.uint8, k, 8 + 8 * k).astype(bool)
+        self.bounds = np.concatenate([[before], np.frombuffer(content, "<i8", k, 8 + 9 * k)])
+
+
 class Reader:
     """Reads documents from a file that can be read at any place; decompresses only the frames that hold them."""
 
@@ -97,12 +126,9 @@ class Reader:
         table = np.frombuffer(self._at(begin + 8, 12 * n), "<u4").reshape(n, 3).astype(np.int64)
         self.packed, self.sizes, self.sums = table[:, 0], table[:, 1], table[:, 2]
         self.places = np.concatenate([[0], np.cumsum(self.packed)])
-        self.first = np.concatenate([[0], np.cumsum(self.sizes[:-1])]) // 4  # ids before each frame
-        directory = self.frame(n - 1)
-        k = struct.unpack_from("<q", directory)[0]
-        self.doc_ids = np.frombuffer(directory, "<i8", k, 8)
-        self.nulls = np.frombuffer(directory, np.uint8, k, 8 + 8 * k).astype(bool)
-        self.bounds = np.concatenate([[0], np.frombuffer(directory, "<i8", k, 8 + 9 * k)])
+        self.index = np.frombuffer(self.frame(n - 1), "<i8").reshape(-1, 7)
+        self.data = np.setdiff1d(np.arange(n - 1), self.index[:, 0])  # the frames of ids
+        self.first = np.concatenate([[0], np.cumsum(self.sizes[self.data])]) // 4  # ids before each of them
 
     def _at(self, place: int, n: int) -> bytes:
         self.source.seek(place)
@@ -112,33 +138,61 @@ class Reader:
         import xxhash
         import zstandard
 
-        content = zstandard.ZstdDecompressor().decompress(self._at(int(self.places[k]), int(self.packed[k])), max_output_size=int(self.sizes[k]))
+        try:
+            content = zstandard.ZstdDecompressor().decompress(self._at(int(self.places[k]), int(self.packed[k])), max_output_size=int(self.sizes[k]))
+        except zstandard.ZstdError as e:
+            raise ValueError(f"frame {k} is damaged") from e
         if len(content) != self.sizes[k] or xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != self.sums[k]:
-            raise ValueError(f"frame {k} is damaged")
+            raise ValueError(f"the checksum of frame {k} is wrong")
         return content
 
+    def directories(self) -> Iterator[Directory]:
+        for k in range(len(self.index)):
+            yield self.directory(k)
+
+    def directory(self, k: int) -> Directory:
+        return Directory(self.frame(int(self.index[k, 0])), int(self.index[k, 2]))
+
     def ids(self, a: int, b: int) -> np.ndarray:
         """The ids from place a to b of this file."""
         if a == b:
             return np.zeros(0, "<u4")
         k, last = (int(np.searchsorted(self.first, x, "right")) - 1 for x in (a, b - 1))
-        joined = np.frombuffer(b"".join(self.frame(x) for x in range(k, last + 1)), "<u4")
+        joined = np.frombuffer(b"".join(self.frame(int(x)) for x in self.data[k : last + 1]), "<u4")
         return joined[a - self.first[k] : b - self.first[k]]
 
     def documents(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of each document with this doc_id."""
-        found = np.flatnonzero(self.nulls) if doc_id is None else np.flatnonzero((self.doc_ids == doc_id) & ~self.nulls)
-        return [self.ids(int(self.bounds[d]), int(self.bounds[d + 1])) for d in found]
+        _, _, _, low, high, low_null, high_null = self.index.T
+        # nulls come first
+        may = low_null == 1 if doc_id is None else ((low_null == 1) | (low <= doc_id)) & (high_null == 0) & (high >= doc_id)
+        out = []
+        for k in np.flatnonzero(may).tolist():
+            d = self.directory(k)
+            found = np.flatnonzero(d.nulls) if doc_id is None else np.flatnonzero((d.doc_ids == doc_id) & ~d.nulls)
+            out += [self.ids(int(d.bounds[x]), int(d.bounds[x + 1])) for x in found]
+        return out
+
+
+#: Bytes of a table's files that make one shard, where there are more than shuffle partitions of them.
+SHARD_BYTES = 256 << 20
+
+
+def _shards(docs: DataFrame) -> int:
+    """spark.sql.shuffle.partitions, or more for tables that Spark knows to be large."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // SHARD_BYTES)) if size < 1 << 60 else least  # more: Spark does not know
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shards: int | None = None, frame_ids: int = 1 << 16) -> list[tuple[int, str, int, int]]:
     """Writes all documents and returns the manifest: (shard, path, documents, ids before the shard), a row a file.
 
     The driver gets one small row for each file, which is as many as there are partitions. shards: by default
-    spark.sql.shuffle.partitions."""
+    as many as there are shuffle partitions, or more for tables beyond SHARD_BYTES for each of them."""
     spark = docs.sparkSession
     ship(spark)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or _shards(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, enc = TaskContext.get(), encoder(tokenizer)
@@ -155,7 +209,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shards:
                 part = next(parts, None)
             writer.close()
         fs.move(own, path)
-        yield pa.record_batch([pa.array([x]) for x in (task.partitionId(), path, len(writer.docs), writer.n_ids)], names=["shard", "path", "n_docs", "n_ids"])
+        yield pa.record_batch([pa.array([x]) for x in (task.partitionId(), path, writer.n_docs, writer.n_ids)], names=["shard", "path", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     found = sorted(rows.mapInArrow(run, "shard long, path string, n_docs long, n_ids long").collect())
@@ -173,16 +227,17 @@ def read(spark: SparkSession, manifest: list[tuple[int, str, int, int]], folder:
                 _, path, _, before = manifest[k]
                 with file_system(folder)[0].open_input_file(path) as source:
                     r = Reader(source)
-                    at = 0
-                    while at < len(r.doc_ids):
-                        end = max(at + 1, int(np.searchsorted(r.bounds, r.bounds[at] + group, "right")) - 1)
-                        bounds = r.bounds[at : end + 1]
-                        ids = r.ids(int(bounds[0]), int(bounds[-1]))
-                        yield pa.record_batch(
-                            [pa.array(r.doc_ids[at:end], mask=r.nulls[at:end]), pa.array(before + bounds[:-1]), pa.array(np.diff(bounds)), binary(ids, bounds - bounds[0]).cast(pa.binary())],
-                            names=["doc_id", "start", "n_tokens", "ids"],
-                        )
-                        at = end
+                    for d in r.directories():
+                        at = 0
+                        while at < len(d.doc_ids):
+                            end = max(at + 1, int(np.searchsorted(d.bounds, d.bounds[at] + group, "right")) - 1)
+                            bounds = d.bounds[at : end + 1]
+                            ids = r.ids(int(bounds[0]), int(bounds[-1]))
+                            yield pa.record_batch(
+                                [pa.array(d.doc_ids[at:end], mask=d.nulls[at:end]), pa.array(before + bounds[:-1]), pa.array(np.diff(bounds)), binary(ids, bounds - bounds[0]).cast(pa.binary())],
+                                names=["doc_id", "start", "n_tokens", "ids"],
+                            )
+                            at = end
 
     ship(spark)
     return spark.range(0, len(manifest), 1, max(1, len(manifest))).mapInArrow(run, schema)

@@ -69,7 +69,7 @@ class Counted(io.BytesIO):
 
 def test_readers_decompress_only_what_they_need():
     out = io.BytesIO()
-    writer = token_files.Writer(out, frame_ids=1000)
+    writer = token_files.Writer(out, frame_ids=1000, directory_docs=2)
     rnd = np.random.default_rng(1)
     docs = [rnd.integers(0, 50_000, n).astype(np.uint32) for n in (1, 5000, 10, 999, 1001, 3)]
     for k, ids in enumerate(docs):
@@ -79,7 +79,9 @@ def test_readers_decompress_only_what_they_need():
     reader = token_files.Reader(source)
     before = source.read_bytes
     assert reader.documents(5)[0].tolist() == docs[5].tolist()
-    assert source.read_bytes - before <= reader.packed[-3:-1].sum()  # one frame, or two
+    used = [int(reader.data[-1]), *reader.index[:, 0].tolist()[-1:]]
+    assert source.read_bytes - before <= reader.packed[used].sum() + reader.packed[reader.data[-2]]  # its directory and one frame, or two
+    assert len(reader.index) == 3 and len(reader.data) == 8 and max(len(d.doc_ids) for d in reader.directories()) == 2
     assert [reader.documents(k if k != 2 else None)[0].tolist() for k in range(6)] == [d.tolist() for d in docs]
     assert reader.documents(77) == []
 
@@ -94,11 +96,18 @@ def test_damage_is_noticed():
 
     whole = b"".join(zstandard.ZstdDecompressor().decompressobj().decompress(bytes(data[a:b])) for a, b in _frames(bytes(data)))
     assert whole[:2000] == np.arange(500, dtype="<u4").tobytes()  # any zstandard tool reads the frames
-    first = int(token_files.Reader(Counted(bytes(data))).packed[0])
-    data[first - 3] ^= 0x40
     reader = token_files.Reader(Counted(bytes(data)))
-    with pytest.raises(Exception):  # noqa: B017, PT011
-        reader.documents(1)
+    data[int(reader.packed[0]) - 3] ^= 0x40
+    with pytest.raises(ValueError, match="frame 0"):
+        token_files.Reader(Counted(bytes(data))).documents(1)
+    # a frame that is sound for zstandard but has other content: only the checksum tells
+    other = zstandard.ZstdCompressor(level=3, write_content_size=True).compress(np.arange(1, 101, dtype="<u4").tobytes())
+    whole, table = bytearray(out.getvalue()), reader.places
+    changed = bytearray(other + whole[int(table[1]) :])
+    begin = len(changed) - 9 - 12 * len(reader.packed)
+    changed[begin : begin + 4] = len(other).to_bytes(4, "little")
+    with pytest.raises(ValueError, match="checksum of frame 0"):
+        token_files.Reader(Counted(bytes(changed))).documents(1)
     with pytest.raises(ValueError, match="no seek table"):
         token_files.Reader(Counted(bytes(data[:-1])))
 
