@@ -1,7 +1,7 @@
 """Packing of tokenised documents into training sequences, balanced by the cost of attention.
 
 Every task packs the documents of its own input split, block by block, so nothing is shuffled and memory is bounded by
-one block. Whole runs of `capacity` ids of a long document are sequences of their own. What is left of each document is
+one block, which ends at `block_tokens` ids or `block_docs` documents. Whole runs of `capacity` ids of a long document are sequences of their own. What is left of each document is
 assigned, longest first, to the sequence of lowest estimated cost (linear * n + quadratic * n * n for each document of
 n ids in it) that still has room for the whole of it. A block has as few sequences as its ids allow; what fits nowhere
 whole is cut into the gaps that remain, the largest first. The ids beyond the last full sequence go to sequences of a
@@ -90,7 +90,7 @@ def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: f
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, block_tokens: int = 2_000_000, linear: float = 1.0, quadratic: float | None = None, grain: int = 128) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, block_tokens: int = 2_000_000, block_docs: int = 100_000, linear: float = 1.0, quadratic: float | None = None, grain: int = 128) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian, 32 bits).
 
     tokenizer: path of a file of the tokenizers library, the same on every machine. sequence_id is unique; a
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
                 if whole < b - a:
                     held.append((doc, b - a, whole, ids[a + whole : b].copy()))
                     waiting += b - a - whole
-                if waiting >= block_tokens:
+                if waiting >= block_tokens or len(held) >= block_docs:
                     rows += flush()
             if rows:
                 yield out(rows)
