@@ -80,21 +80,23 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Additive:
-    """The model; the driver gets one row of features for each document of the sample."""
+    """The model; the driver gets at most `sample` rows of features: one for each doc_id of the sample, and of texts with
+    the same doc_id the one whose hash is the least."""
     ship(docs.sparkSession)
-    known = labels.filter("doc_id is not null and quality is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    known = labels.filter("doc_id is not null and quality is not null").filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     # buckets of a hash, some 256 rows each: the first of them make the sample, without sorting labels or sending more of
     # them to the driver; the limit only makes the bound certain
     n = known.count()
     m = max(1, -(-n // 256))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(m)) < max(1, int(0.95 * sample / 256))).limit(sample)
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).select("quality", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("doc_id")).select("doc_id", "quality", F.xxhash64("text").alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            yield pa.record_batch([part.column("quality"), pa.array(features(part.column("text")).tolist(), pa.list_(pa.float64()))], names=["quality", "x"])
+            yield pa.record_batch([*(part.column(c) for c in ("doc_id", "quality", "key")), pa.array(features(part.column("text")).tolist(), pa.list_(pa.float64()))], names=["doc_id", "quality", "key", "x"])
 
-    got = rows.mapInArrow(run, "quality int, x array<double>").toArrow()
+    each = rows.mapInArrow(run, "doc_id long, quality int, key long, x array<double>")
+    got = each.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("x", "key").alias("x")).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = got.column("quality").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the order of rows must not matter
