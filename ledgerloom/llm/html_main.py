@@ -42,6 +42,7 @@ IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript
 FOREIGN = frozenset(["svg", "math"])
 POINTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 LEAVES = BLOCK | frozenset("b big br code em embed head hr i img meta nobr ruby s small span strong strike sub sup tt u var".split())
+SHELLS = POINTS | BLOCK
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption html body button label legend".split())
 #: an opening tag closes open elements of these names, up to the nearest of the second
 ENDED_BY = {
@@ -89,6 +90,9 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements and their block elements
+        # where in the stack the open elements of a name and of some sets of names are, so nothing has to look for them
+        opened: dict[str, list[int]] = {}
+        walls, shells, roots = [], [], []  # of _WALLS; of POINTS and BLOCK; of FOREIGN
         unseen = links = foreign = 0
         begun = False  # whether the body has
         pieces: list[str] = []
@@ -108,10 +112,29 @@ class Page:
             if name in BLOCK:
                 flush()
             stack.pop()
+            opened[name].pop()
+            for places in (walls, shells, roots):
+                if places and places[-1] == len(stack):
+                    places.pop()
             unseen -= name in UNSEEN
             links -= name == "a"
             foreign -= name in FOREIGN
 
+        def push(name: str, block: int) -> None:
+            opened.setdefault(name, []).append(len(stack))
+            for places, names in ((walls, _WALLS), (shells, SHELLS), (roots, FOREIGN)):
+                if name in names:
+                    places.append(len(stack))
+            stack.append((name, block))
+
+        def last(names) -> int:
+            """Where the innermost open element of these names is; 0 if there is none."""
+            return max((opened[x][-1] for x in names if opened.get(x)), default=0)
+
+        def cut(k: int) -> None:
+            while len(stack) > k:
+                pop()
+
         def in_head() -> bool:
             return len(stack) > 1 and stack[1][0] == "head"
 
@@ -141,52 +164,30 @@ class Page:
             if m[1] or m[4]:
                 if name in ("html", "body"):
                     continue
-                if name == "p" and not any(x == "p" for x, _ in stack):
+                k = last((name,))
+                if name == "p" and not k:
                     flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in _WALLS and name not in BLOCK:
-                        break
+                if k and (name in BLOCK or not walls or walls[-1] <= k):
+                    cut(k)
                 continue
             if m[6] is not None and m.end() == n and not source.endswith(">"):
                 break  # cut off inside a tag
             if in_head():
-                if (name == "body" and not any(x == "template" for x, _ in stack)) or (len(stack) == 2 and name not in IN_HEAD):
-                    while len(stack) > 1:
-                        pop()
+                if (name == "body" and not opened.get("template")) or (len(stack) == 2 and name not in IN_HEAD):
+                    cut(1)
                     begun = True
             elif name not in IN_HEAD:
                 begun = True
             if name in ("html", "body") or (name == "head" and (begun or in_head())):
                 continue
-            if foreign and name in LEAVES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in POINTS or stack[k][0] in BLOCK:
-                        break
-                    if stack[k][0] in FOREIGN:
-                        while len(stack) > k:
-                            pop()
-                        break
-            if name in CLOSES_P or name == "p":
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in _WALLS:
-                        break
+            if foreign and name in LEAVES and (not shells or shells[-1] < roots[-1]):
+                cut(roots[-1])
+            if (name in CLOSES_P or name == "p") and (k := last(("p",))) and (not walls or walls[-1] < k):
+                cut(k)
             if name in ENDED_BY:
                 same, stop = ENDED_BY[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in same:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in stop:
-                        break
+                if (k := last(same)) and last(stop) < k:
+                    cut(k)
             if name in ("br", "wbr", "img", "hr"):
                 if name == "hr":
                     flush()
@@ -222,14 +223,13 @@ class Page:
                 self.hidden.append(hidden)
                 for column in (self.tags, self.own, self.linked, self.stops):
                     column.append(0)
-                stack.append((name, len(self.tag) - 1))
+                push(name, len(self.tag) - 1)
             else:
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
                 unseen += name in UNSEEN
                 links += name == "a"
                 foreign += name in FOREIGN
-        while len(stack) > 1:
-            pop()
+        cut(1)
         flush()
 
     def features(self) -> np.ndarray:
