@@ -350,10 +350,10 @@ def made_page(rnd: random.Random) -> tuple[str, list[str]]:
 
     def article() -> str:
         parts = [said(pick(["h1", "h1", "h2"]), words(3, 12))] if rnd.random() < 0.9 else []
-        for _ in range(pick([1, 1, 2, 3, 5, 8, 15, 30])):
+        for _ in range(pick([1, 1, 1, 2, 3, 5, 8, 15, 30])):
             r = rnd.random()
             if r < 0.72:
-                parts.append(said("p", pick(["", "<b>"]) + prose(1, 6) + pick(["", "", "<br>", f' {link()} {words(1, 4)}'])) if rnd.random() < 0.2 else said("p", prose(1, 6)))
+                parts.append(said("p", pick(["", "<b>"]) + prose(1, 6) + pick(["", "", "<br>", f' {link()} {words(1, 4)}'])) if rnd.random() < 0.2 else said("p", pick([prose(1, 6), prose(1, 6), prose(1, 6), words(1, 4)])))
             elif r < 0.8:
                 parts.append(said(pick(["h2", "h3"]), words(1, 8)))
             elif r < 0.88:
@@ -370,7 +370,13 @@ def made_page(rnd: random.Random) -> tuple[str, list[str]]:
             parts.append(noise(True))
         return "".join(parts)
 
-    wrap = pick(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post">{}</div></div>', '<section class="entry">{}</section>', "<article{}>", '<div class="page-body"><article>{}</article></div>', "<div>{}</div>"])
+    # words that mislead: what holds an article may be named after anything
+    astray = lambda: f"{pick(HINTS[pick(list(HINTS))].split())}-{pick(['body', 'content', 'text', 'main', 'wrap', 'area', 'inner'])}"
+    wrap = pick([
+        "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post">{}</div></div>', '<section class="entry">{}</section>', "<article{}>",
+        '<div class="page-body"><article>{}</article></div>', "<div>{}</div>", f'<div class="{astray()}">{{}}</div>', f'<article class="{astray()}">{{}}</article>', f'<div class="{astray()}"><div id="{word()}">{{}}</div></div>', f'<div id="{astray()}">{{}}</div>', f'<section class="{astray()}">{{}}</section>',
+        f'<div class="{word()}"><div class="{word()}">{{}}</div></div>', "<section>{}</section>", '<div role="main"><section>{}</section></div>', f"<table><tr><td>{noise(False)}</td><td>{{}}</td></tr></table>", "<center><table><tr><td>{}</td></tr></table></center>",
+    ])
     before = "".join(noise(False) for _ in range(rnd.randint(0, 4)))
     body = wrap.replace("{}", article()) if wrap != "<article{}>" else f"<article{cls('post', 'story')}>{article()}</article>"
     after = "".join(noise(False) for _ in range(rnd.randint(0, 4)))
@@ -381,7 +387,7 @@ def made_page(rnd: random.Random) -> tuple[str, list[str]]:
 
 
 @functools.cache
-def trees(pages: int = 700, seed: int = 5) -> Trees:
+def trees(pages: int = 1300, seed: int = 5) -> Trees:
     rnd = random.Random(seed)
     x, y = [], []
     for _ in range(pages):
@@ -399,7 +405,7 @@ def trees(pages: int = 700, seed: int = 5) -> Trees:
             wanted[page.parent[v]] |= wanted[v]
         x.append(page.features())
         y.append(np.array(wanted, float))
-    return Trees(rounds=50, depth=5, rate=0.2).fit(np.concatenate(x), np.concatenate(y))
+    return Trees(rounds=60, depth=6, rate=0.2).fit(np.concatenate(x), np.concatenate(y))
 
 
 def extract(pages: DataFrame) -> DataFrame:
