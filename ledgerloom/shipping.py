@@ -3,6 +3,7 @@ bounds the Arrow batches that they get."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,6 +17,14 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
 
 
+def trim() -> None:
+    """Gives memory that this process has freed back to the system: an idle Python worker stays beside its executor."""
+    import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Adds the package's sources to the application once; Spark's file server hands them to executors, later ones too.
     In this session, larger Arrow batches than BATCH_BYTES are not made from now on."""
