@@ -14,13 +14,18 @@ _shipped: set[str] = set()
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of an Arrow batch; Spark's own bound is several times that, which two workers of a small executor can't hold.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def trim() -> None:
     """Gives memory that this process has freed back to the system: an idle Python worker stays beside its executor."""
     import ctypes
+    import gc
 
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
