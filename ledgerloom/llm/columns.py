@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from ledgerloom.shipping import trim
+
 #: Bytes of text that are worked on at once; per-byte temporaries take about 40 times that.
 SLICE_BYTES = 512 << 10
 
@@ -59,6 +61,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    trim()
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

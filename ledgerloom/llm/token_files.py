@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.columns import text_slices
-from ledgerloom.llm.tokens import SLICE_BYTES, binary, encoder, with_end
+from ledgerloom.llm.tokens import SLICE_BYTES, binary, encoder, forget, with_end
 from ledgerloom.shipping import ship
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -209,6 +209,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shards:
                 part = next(parts, None)
             writer.close()
         fs.move(own, path)
+        enc = None
+        forget()
         yield pa.record_batch([pa.array([x]) for x in (task.partitionId(), path, writer.n_docs, writer.n_ids)], names=["shard", "path", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
