@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,17 +19,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_records: list[list[str]] = []
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """Lists the paths of all tables that written() makes meanwhile."""
+    made: list[str] = []
+    _records.append(made)
+    try:
+        yield made
+    finally:
+        _records.remove(made)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, computed once, written as Parquet and read again: this cuts lineage, and what reads the
     result survives the loss of any executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    for made in _records:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these tables. What still reads them fails afterwards. Spark removes the shuffle files and broadcasts of plans
+    that nothing refers to any more."""
+    for path in paths:
+        _delete(spark, path)
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables that this application has written. Results that still read them fail afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_folder(spark))
