@@ -1,5 +1,5 @@
 """Tables in the folder that all machines share, as in the rest of the library."""
 
-from ledgerloom.store import new_path, release, shared_folder, written
+from ledgerloom.store import drop, new_path, recording, release, shared_folder, written
 
-__all__ = ["new_path", "release", "shared_folder", "written"]
+__all__ = ["drop", "new_path", "recording", "release", "shared_folder", "written"]
