@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ledgerloom.llm.columns import text_slices
-from ledgerloom.llm.tokens import SLICE_BYTES, encoder, forget, with_end
-from ledgerloom.shipping import ship
+from ledgerloom.llm.tokens import SLICE_BYTES, encoder, with_end
+from ledgerloom.shipping import ship, trim
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -134,8 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
                 yield out(rows)
         if rows := flush():
             yield out(rows)
-        enc = None
-        forget()
+        trim()
 
     ship(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)

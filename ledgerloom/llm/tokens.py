@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 
 from ledgerloom.llm.columns import buffers
-from ledgerloom.shipping import trim
 
 #: Bytes of text that are cut and encoded at once; the most chunks that a worker keeps.
 SLICE_BYTES, KEPT = 4 << 20, 250_000
@@ -120,12 +119,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def forget() -> None:
-    """Drops the encoders at the end of a task: an idle worker would hold their chunks beside its executor."""
-    _encoders.clear()
-    trim()
-
-
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with `end` after each document's, and the bounds of the documents."""
     bounds = np.concatenate([[0], np.cumsum(counts)])
