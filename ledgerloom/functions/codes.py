@@ -78,3 +78,8 @@ def rank_floor(n: Column, p: float) -> Column:
 def little_endian(binary: Column, start: int, size: int) -> Column:
     """An unsigned little-endian integer of up to 8 bytes, at a 1-based place; one beyond 2^63 - 1 is an error."""
     return F.conv(F.hex(F.reverse(F.substring(binary, start, size).cast("binary")).cast("binary")), 16, 10).cast("decimal(20,0)").cast("long")
+
+
+def crc_bytes(binary: Column) -> Column:
+    """The four bytes of a binary's CRC-32, little-endian."""
+    return F.unhex(F.concat(*[F.substring(F.lpad(F.hex(F.crc32(binary)), 8, "0"), k, 2) for k in (7, 5, 3, 1)]))

@@ -98,4 +98,5 @@ def with_boundary(log: DataFrame, seq: int, term: int) -> tuple[DataFrame, DataF
 
 
 def cleared(log: DataFrame) -> DataFrame:
+    """A log without entries; a boundary that was there stays."""
     return log.limit(0)

@@ -169,10 +169,31 @@ def book_orders(states: DataFrame) -> DataFrame:
     return one.select("book", "side", F.dense_rank().over(side.orderBy(key)).cast("long").alias("level_rank"), F.row_number().over(W.partitionBy("book", "side", "price").orderBy("arrival")).cast("long").alias("queue_pos"), "price", "arrival", "id", "quantity")
 
 
+def beyond(snapshot: DataFrame, log: DataFrame) -> DataFrame:
+    """The log entries that a recovery replays: those beyond the snapshot of their book (beyond 0, if there is none), up to
+    the first that does not follow the one before; with `after`, the snapshot's sequence. Repeated entries count once."""
+    from pyspark.sql import Window as W
+
+    fresh = log.join(snapshot.select("book", F.col("last_seq").alias("after")), "book", "left").withColumn("after", F.coalesce("after", F.lit(0).cast("long"))).filter("seq > after")
+    once = fresh.dropDuplicates(["book", "seq"])
+    # without gaps the n-th entry has the n-th sequence; the first that has not ends the replay, as all after it are ahead
+    return once.withColumn("n_", F.row_number().over(W.partitionBy("book").orderBy("seq"))).filter("seq = after + n_").drop("n_")
+
+
 def recover(snapshot: DataFrame, log: DataFrame) -> DataFrame:
-    """The state after a snapshot and the log entries beyond it; entries that the snapshot has are skipped."""
-    beyond = log.join(snapshot.select("book", F.col("last_seq").alias("upto")), "book", "left").filter("upto is null or seq > upto").drop("upto")
-    return snapshots(beyond, snapshot)
+    """The state after a snapshot and the log entries beyond it; entries that the snapshot has are skipped, and a gap ends
+    the replay."""
+    return snapshots(beyond(snapshot, log).drop("after"), snapshot)
+
+
+def recovery_report(snapshot: DataFrame, log: DataFrame) -> DataFrame:
+    """What recover() does with each book: had_snapshot, snapshot_seq, replayed entries, last_seq, and whether entries lie
+    beyond a gap and are left out."""
+    books = log.groupBy("book").agg(F.max("seq").alias("head")).join(snapshot.select("book", F.col("last_seq").alias("snapshot_seq")), "book", "full_outer")
+    done = beyond(snapshot, log).groupBy("book").agg(F.count("*").alias("n"), F.max("seq").alias("to"))
+    at = F.coalesce("snapshot_seq", F.lit(0).cast("long"))
+    last = F.coalesce("to", at)
+    return books.join(done, "book", "left").select("book", F.col("snapshot_seq").isNotNull().alias("had_snapshot"), at.alias("snapshot_seq"), F.coalesce("n", F.lit(0)).cast("long").alias("replayed"), last.alias("last_seq"), (F.coalesce("head", F.lit(0)) > last).alias("stopped_at_gap"))
 
 
 def verified(states: DataFrame) -> DataFrame:

@@ -43,12 +43,16 @@ def log_matching(log: DataFrame, leader: int) -> DataFrame:
     return pairs.join(held, ["node_id", "seq"], "left").select("node_id", "seq", verdict.alias("verdict")).groupBy("node_id", "verdict").agg(F.count("*").alias("entries"), F.min("seq").alias("first_seq"))
 
 
-def resolved(log: DataFrame, leader: int) -> DataFrame:
-    """What a follower keeps of its log when the leader's comes: entries below its first divergence from the leader."""
+def resolved(log: DataFrame, leader: int, commits: DataFrame | None = None) -> DataFrame:
+    """What a follower keeps of its log when the leader's comes: entries below its first divergence from the leader. A
+    divergence at or below the follower's commit index (commits: node_id, commit_seq) is refused and cuts nothing."""
     mine = log.filter(F.col("node_id") == leader).select("seq", F.col("term").alias("leader_term"))
     others = log.filter(F.col("node_id") != leader)
     first = others.join(mine, "seq").filter("term <> leader_term").groupBy("node_id").agg(F.min("seq").alias("cut"))
-    return others.join(first, "node_id", "left").filter("cut is null or seq < cut").groupBy("node_id").agg(F.max("seq").alias("kept_through"), F.count("*").alias("kept"), F.max("cut").alias("first_divergence"))
+    known = commits if commits is not None else others.select("node_id", F.lit(0).cast("long").alias("commit_seq")).distinct()
+    first = first.join(known.select("node_id", "commit_seq"), "node_id", "left").withColumn("refused", F.col("cut") <= F.coalesce("commit_seq", F.lit(0)))
+    kept = others.join(first, "node_id", "left").filter("cut is null or refused or seq < cut")
+    return kept.groupBy("node_id").agg(F.max("seq").alias("kept_through"), F.count("*").alias("kept"), F.max("cut").alias("first_divergence"), F.coalesce(F.max("refused"), F.lit(False)).alias("refused"))
 
 
 def latest_acks(acks: DataFrame) -> DataFrame:
@@ -73,10 +77,13 @@ def majority_commit(log: DataFrame, acks: DataFrame, leader: int, nodes: int, co
     return found.select("candidate", F.col("term").alias("candidate_term"), "own_term", F.when(may, F.col("candidate")).otherwise(F.lit(commit).cast("long")).alias("commit_seq"))
 
 
-def follower_commits(acks: DataFrame) -> DataFrame:
-    """How a follower's commit index moves: the least of the leader's and its own head, never back."""
+def follower_commits(appends: DataFrame) -> DataFrame:
+    """How the commit index of each follower moves with a leader's messages (follower_id, msg_no, leader_commit, last_seq):
+    one that is beyond the follower's index sets it to the least of the leader's and the follower's own last sequence.
+
+    The index is the running maximum of these: the own last sequence never falls below what is committed."""
     w = W.partitionBy("follower_id").orderBy("msg_no").rowsBetween(W.unboundedPreceding, 0)
-    return acks.select("follower_id", "msg_no", F.max(F.least("last_applied", "match_seq")).over(w).alias("commit_seq"))
+    return appends.select("follower_id", "msg_no", F.max(F.least("leader_commit", "last_seq")).over(w).alias("commit_seq"))
 
 
 def divergences(acks: DataFrame) -> DataFrame:
@@ -84,9 +91,12 @@ def divergences(acks: DataFrame) -> DataFrame:
     return acks.groupBy("last_applied").agg(F.count_distinct("state_checksum").alias("checksums"), F.count("*").alias("reports")).filter("checksums > 1")
 
 
-def compacted(log: DataFrame, commit: int, applied: int) -> DataFrame:
-    """The log without what is both committed and applied."""
-    return log.filter(F.col("seq") > min(commit, applied))
+def compacted(log: DataFrame, states: DataFrame) -> DataFrame:
+    """The logs after each node (states: node_id, role, backups, commit_seq, last_applied) has dropped what is both
+    committed and applied; only a leader that has followers drops anything."""
+    safe = F.when((F.col("role") == "LEADER") & (F.col("backups") > 0), F.least("commit_seq", "last_applied")).otherwise(F.lit(0).cast("long"))
+    upto = states.select("node_id", safe.alias("safe"))
+    return log.join(upto, "node_id", "left").filter("safe is null or seq > safe").drop("safe")
 
 
 def lags(log: DataFrame, acks: DataFrame, leader: int) -> DataFrame:

@@ -143,3 +143,11 @@ def percentile_floor(df: DataFrame, value: str, p: float, *keys: str) -> DataFra
     return ranked.filter(F.col("r") - 1 == codes.rank_floor(F.col("n"), p)).select(*keys, F.col(value).alias("percentile"))
 
 
+
+
+def reduced(orders: DataFrame, by: DataFrame) -> DataFrame:
+    """A book after quantities were taken from its orders (by: book, id, by); an order that has no more goes, ids that are
+    not there are ignored."""
+    taken = by.groupBy("book", "id").agg(F.sum("by").alias("by"))
+    left = orders.join(taken, ["book", "id"], "left").withColumn("quantity", (F.col("quantity") - F.coalesce("by", F.lit(0))).cast("long"))
+    return left.filter("quantity > 0").select("book", "side", "price", "id", "quantity")

@@ -101,7 +101,7 @@ sides as (select b.book, s.side, list_concat({_le("count(l.book)")}, coalesce(fl
   from (select distinct book from commands) as b cross join (values ('BUY'), ('SELL')) as s(side) left join levels as l on l.book = b.book and l.side = s.side group by b.book, s.side),
 books as (select book, {_fnv(_START, "flatten(list(bytes order by side))")} as book_checksum from sides group by book),
 ends as (select book, seq, arrivals from fold qualify seq = max(seq) over (partition by book))
-select e.book, e.seq as commands, s.events, cast(s.event_hash as varchar) as event_hash, cast(b.book_checksum as varchar) as book_checksum,
+select e.book, e.seq as commands, s.events, e.arrivals, cast(s.event_hash as varchar) as event_hash, cast(b.book_checksum as varchar) as book_checksum,
   cast({_fnv("b.book_checksum", f"list_concat({_le('e.seq')}, list_concat({_le('s.events')}, list_concat({_le('e.arrivals')}, {_le('e.book')})))")} as varchar) as state_checksum
 from ends as e join streams as s on s.book = e.book join books as b on b.book = e.book"""
 
@@ -110,7 +110,16 @@ CRC = f"""with commands as ({derive.COMMANDS_SQL}), lines as (select book, seq,
 select book, seq, xor(list_reduce(list_concat([4294967295], list_transform(string_split(line, ''), lambda c_: cast(ord(c_) as bigint))), lambda v_, b_: list_reduce(list_concat([xor(v_, b_)], range(8)), lambda x_, k_: xor(x_ >> 1, 3988292384 * (x_ & 1)))), 4294967295) as crc from lines"""
 
 SQL = {
-    "checksums": CHECKSUMS,
+    "checksums": f"select * exclude (arrivals) from ({CHECKSUMS}) as c",
+    "recovery_as_of": f"select * exclude (arrivals, event_hash) from ({CHECKSUMS}) as c",
+    "snapshot_roundtrip": f"""select c.book, commands as last_seq, commands as command_seq, events as event_seq, arrivals, orders, quantity, book_checksum, state_checksum from ({CHECKSUMS}) as c
+        join (with {EVENTS} select b.book, count(r.id) as orders, cast(coalesce(sum(r.quantity), 0) as bigint) as quantity from (select distinct book from commands) as b left join resting_ as r on r.book = b.book group by b.book) as o on o.book = c.book""",
+    # order files name no instrument: each order is for the instrument of its file
+    "replay_files": "select * exclude (arrivals) from (" + CHECKSUMS.replace("case when event_id % 97 = 0 then book + 1 else book end", "book") + ") as c",
+    "event_files": f"with {EVENTS} select book, {_TEXT} as text from events_",
+    "stream_matches_batch": f"with {EVENTS} select book, event_seq, {_TEXT} as text from events_",
+    "prefix_replay": f"with {EVENTS} select book, event_seq, command_seq, {_TEXT} as text from events_ where command_seq > (select max(seq) // 2 from commands as c where c.book = events_.book)",
+    "book_from_events": f"with {EVENTS} select book, side, price, id, quantity, queue_pos from resting_",
     "crc32_payload": CRC,
     "match_events": f"with {EVENTS} select *, {_TEXT} as text from events_",
     "events_by_type": f"with {EVENTS} select book, event_type, count(*) as events from events_ group by all",

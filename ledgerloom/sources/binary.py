@@ -92,6 +92,11 @@ def wal_records(data: bytes) -> tuple[list[tuple[int, bytes]], int]:
     return out, at
 
 
+def wal_reset() -> bytes:
+    """An empty write-ahead file."""
+    return b""
+
+
 def wal_through(data: bytes, seq: int) -> bytes:
     """A file's good records after a sequence, as a file."""
     return b"".join(wal_record(s, p) for s, p in wal_records(data)[0] if s > seq)
@@ -294,6 +299,94 @@ def read_frames(files: DataFrame) -> DataFrame:
     return _rows(files, one, "path string, msg_no long, n_bytes long, kind string, entries long, error string")
 
 
+def read_snapshots(files: DataFrame) -> DataFrame:
+    """Snapshot files (path, content): what they hold, with checksums of the restored book; a bad one has an error."""
+
+    def one(data: bytes) -> Iterator[dict]:
+        from ledgerloom.operators.fold import BookFold
+        from ledgerloom.sources.binary import Damaged, open_snapshot_file
+
+        try:
+            s, seq, term, checksum = open_snapshot_file(data)
+        except Damaged as e:
+            yield {"error": str(e)}
+            return
+        fold = BookFold(s.instrument)
+        good = fold.restore(s) and fold.state_checksum() == checksum
+        yield {
+            "last_seq": seq, "last_term": term, "instrument": s.instrument, "command_seq": s.command_seq, "event_seq": s.event_seq, "arrivals": s.arrivals, "orders": len(s.orders), "quantity": sum(o[3] for o in s.orders),
+            "book_checksum": str(fold.book_checksum()), "state_checksum": str(fold.state_checksum()), "error": None if good else "the state is not the one that was stored",
+        }
+
+    return _rows(files, one, "path string, last_seq long, last_term long, instrument long, command_seq long, event_seq long, arrivals long, orders long, quantity long, book_checksum string, state_checksum string, error string")
+
+
+def _mapped(files: DataFrame, one, extra: str) -> DataFrame:
+    """Files (path, content) whose content is one(content, extra)."""
+    ship(files.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"path": part["path"], "content": [one(bytes(c), int(x)) for c, x in zip(part["content"], part["x"], strict=True)]})
+
+    return files.selectExpr("path", "content", f"{extra} as x").mapInPandas(run, "path string, content binary")
+
+
+def truncated_wal(files: DataFrame, through: str) -> DataFrame:
+    """Write-ahead files without the records up to the sequence in the column `through`."""
+    return _mapped(files, wal_through, through)
+
+
+def vote_files(ballots: DataFrame) -> DataFrame:
+    """Vote files of rows (path, term, voted_for); where `flipped` a bit is wrong, where `cut` the last byte is missing."""
+    ship(ballots.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for term, vote, cut, flipped in zip(part["term"], part["voted_for"], part["cut"], part["flipped"], strict=True):
+                data = bytearray(vote_file(int(term), int(vote)))
+                data[5] ^= int(flipped)
+                out.append(bytes(data[: len(data) - int(cut)]))
+            yield pd.DataFrame({"path": part["path"], "content": out})
+
+    return ballots.select("path", "term", "voted_for", "cut", "flipped").mapInPandas(run, "path string, content binary")
+
+
+def read_votes(files: DataFrame) -> DataFrame:
+    """Term, vote and whether the file was damaged, of vote files."""
+
+    def one(data: bytes) -> Iterator[dict]:
+        yield dict(zip(("term", "voted_for", "damaged"), open_vote_file(data), strict=True))
+
+    return _rows(files, one, "path string, term long, voted_for long, damaged boolean")
+
+
+def frame_files(messages: DataFrame, cut: int = 0) -> DataFrame:
+    """Byte streams of messages (path, msg_no, code, n, seq and a command's columns), without their last `cut` bytes. The
+    command is what a message of entries or a forwarded command carries, n times."""
+    from pyspark.sql import functions as F
+
+    ship(messages.sparkSession)
+    names = ("code", "n", "seq", "kind", "id", "instrument", "side", "type", "tif", "price", "quantity")
+
+    @F.pandas_udf("binary")
+    def framed(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for r in rows.astype(object).where(rows.notna(), None).to_dict("records"):
+            command = {k: int(v) if k in ("id", "instrument", "price", "quantity") and v is not None else v for k, v in r.items()}
+            seq, n, kind = int(r["seq"]), int(r["n"]), MESSAGES[int(r["code"])]
+            numbers = dict.fromkeys("counter through_event_seq state_checksum term last_log_seq last_applied origin_seq prev_seq prev_term commit_seq".split(), seq) | dict.fromkeys("node_id candidate_id voter_id leader_id version".split(), n) | dict.fromkeys(("granted", "ok"), seq % 2)
+            entries = [{"seq": seq + k, "term": n} | {k: v for k, v in command.items() if k not in ("seq", "n", "code")} for k in range(n)]
+            out.append(encode_message(kind, numbers | {"address": "h" * n, "command": command, "entries": entries}))
+        return pd.Series(out)
+
+    rows = messages.select("path", F.struct("msg_no", framed(F.struct(*names)).alias("frame")).alias("m"))
+    joined = rows.groupBy("path").agg(F.sort_array(F.collect_list("m")).alias("m")).select("path", F.transform("m", lambda x: x["frame"]).alias("f"))
+    whole = F.aggregate(F.col("f"), F.lit(b""), lambda a, b: F.concat(a, b))
+    return joined.select("path", whole.alias("content")).selectExpr("path", f"substring(content, 1, length(content) - {cut}) as content")
+
+
 def wal_bytes(log: DataFrame) -> DataFrame:
     """One write-ahead file for each book of a log (book, seq, term, command columns): path (the book), content."""
     ship(log.sparkSession)

@@ -124,3 +124,15 @@ def others(nodes: DataFrame, node_id: int) -> DataFrame:
 def write_events(events: DataFrame, path: str) -> None:
     """The lines of an event stream as text files, one for each book, in sequence; files are written by all tasks."""
     events.repartition("book").sortWithinPartitions("book", "event_seq").select("book", "text").write.partitionBy("book").text(path)
+
+
+def write_orders(commands: DataFrame, path: str) -> None:
+    """Order files, one for each book, lines in sequence."""
+    commands.repartition("book").sortWithinPartitions("book", "seq").select("book", order_line().alias("value")).write.partitionBy("book").text(path)
+
+
+def read_order_files(spark: SparkSession, path: str) -> DataFrame:
+    """Commands of a folder of order files book=<n>/..., each for the instrument of its book."""
+    rows = checked(parsed_lines(lines(spark, path).withColumn("book", F.regexp_extract("file", "book=([0-9]+)", 1).cast("long"))))
+    seq = F.row_number().over(W.partitionBy("book", "file").orderBy("line_no")).cast("long")
+    return rows.select("book", seq.alias("seq"), "kind", "id", F.when(F.col("kind") == "N", F.col("book")).alias("instrument"), "side", "type", "tif", "price", "quantity")
