@@ -204,6 +204,7 @@ def check_packing(rows, texts, tokenizer):
 def test_packing(hard, texts, none):
     path, tokenizer = plain("byte_bpe_50k.json")
     check_packing(packing.pack(hard, path, block_tokens=4000).collect(), texts, tokenizer)
+    check_packing(packing.pack(hard, path, block_docs=3).collect(), texts, tokenizer)
     assert packing.pack(none, path).count() == 0
 
 
@@ -320,6 +321,38 @@ def test_join_finds_all_groups(spark, hard, texts, monkeypatch, frequent):
     assert kept.columns == docs.columns and kept.count() == len({r for s, r in zip(sets, root, strict=True) if s}) + sum(not s for s in sets)
 
 
+def fuzzy(n, seed, words=70, most=9):
+    """Copies of one text of which each has some words of its own: some link, most do not, and chains run through them."""
+    rnd = random.Random(seed)
+    base = [f"b{rnd.randrange(500)}" for _ in range(words)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for at in rnd.sample(range(words), rnd.randint(0, most)):
+            w[at] = f"y{rnd.randrange(3000)}"
+        out.append((50_000 * seed + k, " ".join(w), "en", "a", 0))
+    return out
+
+
+@pytest.mark.parametrize(("crowded", "medoids", "near"), [(8, 4, 0.25), (2, 1, 0.09), (10_000, 2, 0.5)])
+def test_fuzzy_groups_keep_all_links(spark, monkeypatch, crowded, medoids, near):
+    """Groups of which the members link through others only, whatever clusters and medoids there are."""
+    for k, v in (("CROWDED", crowded), ("MEDOIDS", medoids), ("NEAR", near)):
+        monkeypatch.setattr(ngram_join, k, v)
+    drift, w = [], [f"d{k}" for k in range(80)]
+    for k in range(60):  # each is near to the one before, the first and the last have nothing in common
+        w[(7 * k) % 80] = f"e{k}"
+        drift.append((900_000 + (k * 37) % 60, " ".join(w), "en", "a", 0))
+    rows = fuzzy(220, 3, words=300, most=6) + fuzzy(120, 4) + drift + near_copies(60, 5)
+    sets, root = groups([(k, t) for k, t, *_ in rows])
+    least = {}
+    for (k, *_), r in zip(rows, root, strict=True):
+        least[r] = min(k, least.get(r, k))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: least[r] for (k, *_), r in zip(rows, root, strict=True)}
+    assert len(set(root)) > 40 and max(collections.Counter(root).values()) >= 60
+
+
 def test_join_keeps_columns(hard, none):
     assert ngram_join.join(none).count() == 0
     empty = ngram_join.keep_one(none)
@@ -366,7 +399,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
 def test_stages_keep_columns(spark, sf_dir):
     import corpus_pipeline
 
-    docs = table(spark, sf_dir, "documents").orderBy("doc_id").limit(40).withColumns({"words": F.lit("x"), "row_": F.lit(1), "dotted.name": F.lit(2)})
+    docs = table(spark, sf_dir, "documents").withColumns({"words": F.lit("x"), "row_": F.lit(1), "dotted.name": F.lit(2)})
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "packing"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)

@@ -80,6 +80,15 @@ def test_quality_on_hard_rows(spark, hard, none):
     assert {r.score for r in quality_model.predictions(hard, labels.limit(0)).collect()} == {0.5}
 
 
+def test_a_repeated_document_is_one_label(spark):
+    """Features of a labelled doc_id that stands in many rows come to the driver once."""
+    docs = spark.createDataFrame([(k, f"words of text number {k} " * (k % 9 + 1)) for k in range(60)] + [(3, "some other text")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    once = docs.filter("text <> 'some other text'").unionAll(spark.createDataFrame([(3, "some other text")], docs.schema))
+    x = np.array([[0.0]])
+    assert quality_model.fit(docs, labels).probability(np.repeat(x, len(quality_model.FEATURES), 1)) == quality_model.fit(once, labels).probability(np.repeat(x, len(quality_model.FEATURES), 1))
+
+
 # pages
 
 
@@ -116,6 +125,14 @@ def test_pages(around):
     assert main_text(f"<!DOCTYPE html><html><head><title>T</title></head><body>{around.replace('{}', ARTICLE, 1)}</body></html>") == BLOCKS
 
 
+@pytest.mark.parametrize("name", ["sidebar-layout", "header-content", "promo-text", "cookie-story", "ad-free-zone", "related-post-body"])
+@pytest.mark.parametrize("wrap", ['<div class="{0}">{1}</div>', '<article class="{0}">{1}</article>', '<div id="{0}"><div class=x>{1}</div></div>'])
+def test_containers_with_misleading_names(name, wrap):
+    article = "<h1>A title of it</h1><p>First words of the text, which are plain.</p><p>More of it, with white space. And so on.</p><ul><li>One point is made.<li>Another follows it.</ul>"
+    page = f"<html><head><title>t</title></head><body><nav><a href=/>Home</a> <a href=/n>News</a></nav>{wrap.format(name, article)}<footer>(c) 2024 Some company.</footer></body></html>"
+    assert main_text(page).split("\n") == ["A title of it", "First words of the text, which are plain.", "More of it, with white space. And so on.", "One point is made.", "Another follows it."]
+
+
 def test_nothing_is_kept_below_what_is_dropped():
     rnd, g = random.Random(5), np.random.default_rng(5)
     for _ in range(100):
@@ -173,7 +190,7 @@ def test_head_svg_and_math_that_stay_open(source, blocks):
 def test_time_is_linear():
     import time
 
-    for source in ("<p " * 50_000, "<div>" * 20_000 + "x", "<p>" + "a&amp;" * 50_000, "<a href='" * 30_000, "<!--" * 50_000, "<p>a</b>" * 20_000, "<script>" * 20_000):
+    for source in ("<p " * 50_000, "<div>" * 20_000 + "x", "<p>" + "a&amp;" * 50_000, "<a href='" * 30_000, "<!--" * 50_000, "<p>a</b>" * 20_000, "<script>" * 20_000, "<div>" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000, "<table><tr><td>" * 8_000):
         began = time.time()
         main_text(source)
         assert time.time() - began < 20, source[:8]
