@@ -345,7 +345,7 @@ def made_page(rnd: random.Random) -> tuple[str, list[str]]:
         if kind == "share":
             return pick([f"<div{cls('share', 'social', 'follow')}>{' '.join(link() for _ in range(3))}</div>", f"<ul{cls('share', 'social')}><li>{link()}</li><li>{link()}</li></ul>"])
         if kind == "foot":
-            return pick([f"<footer>&copy; {words(1, 3)} &middot; {prose(1, 1)}</footer>", f"<div{cls('footer', 'copyright', 'legal')}>{prose(1, 2)} {link()}</div>", f"<footer><p>{prose(1, 1)}</p><ul><li>{link()}</li></ul></footer>"])
+            return pick([f"<footer>&copy; {words(1, 3)} &middot; {prose(1, 1)}</footer>", f"<div{cls('footer', 'copyright', 'legal')}>{prose(1, 2)} {link()}</div>", f"<div{cls('footer', 'copyright', 'legal')}>{prose(1, 2)}</div>", f"<footer><p>{prose(1, 1)}</p><ul><li>{link()}</li></ul></footer>"])
         return pick([f"<header><h2>{words(1, 3)}</h2>{link()}</header>", f"<div{cls('header', 'masthead', 'topbar')}><p>{words(2, 6)}</p>{link()}</div>"])
 
     def article() -> str:
@@ -374,7 +374,7 @@ def made_page(rnd: random.Random) -> tuple[str, list[str]]:
     astray = lambda: f"{pick(HINTS[pick(list(HINTS))].split())}-{pick(['body', 'content', 'text', 'main', 'wrap', 'area', 'inner'])}"
     wrap = pick([
         "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post">{}</div></div>', '<section class="entry">{}</section>', "<article{}>",
-        '<div class="page-body"><article>{}</article></div>', "<div>{}</div>", f'<div class="{astray()}">{{}}</div>', f'<article class="{astray()}">{{}}</article>', f'<div class="{astray()}"><div id="{word()}">{{}}</div></div>', f'<div id="{astray()}">{{}}</div>', f'<section class="{astray()}">{{}}</section>',
+        '<div class="page-body"><article>{}</article></div>', "<div>{}</div>", f'<div class="{astray()}">{{}}</div>', f'<article class="{astray()}">{{}}</article>', f'<div class="{astray()}"><div id="{word()}">{{}}</div></div>',
         f'<div class="{word()}"><div class="{word()}">{{}}</div></div>', "<section>{}</section>", '<div role="main"><section>{}</section></div>', f"<table><tr><td>{noise(False)}</td><td>{{}}</td></tr></table>", "<center><table><tr><td>{}</td></tr></table></center>",
     ])
     before = "".join(noise(False) for _ in range(rnd.randint(0, 4)))
@@ -405,7 +405,7 @@ def trees(pages: int = 1300, seed: int = 5) -> Trees:
             wanted[page.parent[v]] |= wanted[v]
         x.append(page.features())
         y.append(np.array(wanted, float))
-    return Trees(rounds=60, depth=6, rate=0.2).fit(np.concatenate(x), np.concatenate(y))
+    return Trees(rounds=60, depth=5, rate=0.2).fit(np.concatenate(x), np.concatenate(y))
 
 
 def extract(pages: DataFrame) -> DataFrame:
