@@ -6,9 +6,10 @@ contained in a document that has each of its shingles, so its prefix is a single
 is joined. A match says where the window would begin: bounds on that place and on the length left in the document drop
 the rest, and what remains is verified word by word and byte by byte.
 
-The items are taken in blocks of at most `block_bytes` of text (an index takes some 40 times that), so what the driver collects and broadcasts is bounded;
-each block is joined with all documents, in two passes over the texts (rarity, join) without a shuffle of texts. Hot
-sources and groups of copies are just rows.
+A benchmark of at most `block_bytes` of text (an index takes some 40 times that) is indexed on the driver and broadcast, so
+what is broadcast is bounded; the documents are read twice (rarity, join), without a shuffle of texts. A larger benchmark
+becomes tables, joined with the documents in a fixed number of passes (decontaminate_large.py). Hot sources and groups of
+copies are just rows, or are joined once for each distinct text.
 
 Null or empty texts have no words; such items match nothing and such documents are clean. Repeated items are reported by
 each of their ids, repeated documents row by row. Empty tables give no rows, or no hits. Null item_ids read "null".
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerloom.llm import decontaminate_large
 from ledgerloom.llm.columns import ALNUM, Words, ngrams, text_slices
 from ledgerloom.shipping import ship
 
@@ -186,30 +188,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None,
     carry = carry or ["doc_id"]
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
     keep_text = "text" in carry
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in carry if c != "text"]).alias("row"), F.col("text").cast("string").alias("t"))
-    found = []
-    for b in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
+    if total <= block_bytes:
+        block = items.toArrow()
         index = windows_of(block.column("text").to_pylist(), window, shingle)
         sieves = {s: Sieve(np.concatenate([x.grams.reshape(-1) for x in index if x.shingle == s])) for s in {x.shingle for x in index}}
         counts = _rarity(docs, sieves) if index else {}
         for x in index:
             x.join_on_rarest(sieves[x.shingle], counts[x.shingle])
-        found.append((index, block.column("item_id").to_pylist()))
-        if blocks > 1:
-            found[-1] = _join(docs.select(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("digest")).alias("row"), F.col("text").cast("string").alias("t")), *found[-1], text=False).filter("size(items) > 0")
-    if blocks == 1:
-        out = _join(rows, *found[0], text=keep_text)
-    else:  # the hits are a function of the text, so its digest joins them to the documents
-        part = found[0]
-        for x in found[1:]:
-            part = part.unionAll(x)
-        part = part.groupBy(F.col("row.digest").alias("digest")).agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        words = _join(rows.withColumn("row", F.struct(F.col("row").alias("r"), F.md5(F.coalesce("t", F.lit(""))).alias("digest"))), [], [], text=keep_text).drop("spans", "items")
-        out = words.join(part, words["row.digest"] == part["digest"], "left").withColumn("row", F.col("row.r"))
-        out = out.withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})"))).withColumn("items", F.sort_array(F.coalesce("items", F.expr("cast(array() as array<string>)"))))
+        out = _join(rows, index, block.column("item_id").to_pylist(), text=keep_text)
+    else:
+        found = decontaminate_large.found_by_text(docs.select(F.col("text").cast("string").alias("text")), items, window, shingle)
+        out = decontaminate_large.with_words(rows, found, text=keep_text)
     out = out.withColumn("n_hit", covered(F.col("spans"))).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
     return out.select(F.col("row").alias("row_"), *([F.col("t").alias("text_")] if keep_text else []), "n_words", "spans", "items", "n_hit", "contaminated")
 

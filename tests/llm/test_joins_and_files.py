@@ -9,7 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
-from ledgerloom.llm import decontaminate, ngram_join, packing, quality_rules, registry, secrets, token_files
+from ledgerloom.llm import decontaminate, decontaminate_large, ngram_join, packing, quality_rules, registry, secrets, token_files
 from ledgerloom.llm.store import new_path
 from pyspark.sql import functions as F
 from tests_llm import same_sql, table
@@ -247,6 +247,29 @@ def test_decontamination(spark, hard, texts, block):
     assert kept.schema == hard.schema and kept.count() == sum(n for k, n in want.items() if not k[-1])
 
 
+@pytest.mark.parametrize("most_bits", [6, 29])
+def test_large_benchmarks_give_the_same(spark, sf_dir, most_bits, monkeypatch):
+    """The join of tables gives what the broadcast index gives, spans and items, also if its bit tables let everything through."""
+    docs, benchmark = (registry.table(spark, sf_dir, n) for n in ("documents", "benchmark"))
+    monkeypatch.setattr(decontaminate_large, "MOST_BITS", most_bits)
+    rows = [sorted((r.row_.doc_id, r.n_words, str(r.spans), str(r["items"]), r.n_hit, r.contaminated) for r in decontaminate.hits(docs, benchmark, block_bytes=n).collect()) for n in (32 << 20, 0)]
+    assert rows[0] == rows[1] and any(r[-1] for r in rows[0])
+
+
+def test_large_benchmarks_take_a_fixed_number_of_passes(spark, hard, sf_dir, monkeypatch):
+    """Items cut, shingled, shingles counted, places found, words counted: five passes in Arrow for any benchmark."""
+    small = registry.table(spark, sf_dir, "benchmark")
+    kind, calls = type(hard), []
+    run = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: calls.append(self.columns) or run(self, *a, **k))
+    seen = []
+    for benchmark in (small, small.union(small.withColumn("text", F.concat("text", F.lit(" and more"))))):
+        calls.clear()
+        decontaminate.hits(hard, benchmark, block_bytes=0)
+        seen.append(len(calls))
+    assert seen == [5, 5]
+
+
 def test_decontamination_of_nothing(hard, none, spark):
     benchmark = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontaminate.summary(none, benchmark).count() == 0
