@@ -4,7 +4,8 @@ Both public files that the operators use split their input at white space and ma
 a single space or line feed that stands between two characters that are surely not white space, or between an ASCII
 letter or digit and an ASCII mark, and the ids of its
 chunks, one after another, are those of the text. Everything else (runs of white space, other white space) stays inside
-a chunk. Distinct chunks of a slice come from Arrow's dictionary encoding; a worker keeps those it has met.
+a chunk. Distinct chunks of a slice come from Arrow's dictionary encoding; a worker keeps those it has met, and when they get too many, those
+that it has met in more than one slice.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import pyarrow as pa
 
 from ledgerloom.llm.columns import buffers
 
-#: Bytes of text that are cut and encoded at once; the most chunks that a worker keeps.
-SLICE_BYTES, KEPT = 4 << 20, 250_000
+#: Bytes of text that are cut and encoded at once; the most chunks that a worker keeps, some 200 bytes each; chunks that go
+#: through the tokenizer at once.
+SLICE_BYTES, KEPT, BATCH = 4 << 20, 400_000, 1 << 14
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -67,7 +69,24 @@ class Encoder:
     def _forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.begin, self.size, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def _make_room(self, wanted: int) -> None:
+        """Room for so many more chunks: of those met in more than one slice the most used stay, up to half of all."""
+        if len(self.slots) + wanted <= KEPT:
+            return
+        uses = self.uses[: len(self.slots)]
+        kept = np.flatnonzero(uses > 1)
+        if len(kept) > KEPT // 2:
+            kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[: KEPT // 2]])
+        if not len(kept) or len(kept) + wanted > KEPT:
+            self._forget()
+            return
+        chunks, begin, size = list(self.slots), self.begin[kept], self.size[kept]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(begin - (ends - size), size) + np.arange(ends[-1])]
+        self.used, self.begin, self.size, self.uses = len(self.flat), ends - size, size, np.ones(len(kept), np.int64)
+        self.slots = {chunks[k]: n for n, k in enumerate(kept.tolist())}
 
     def _learn(self, chunks: list[str]) -> None:
         done = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
@@ -78,7 +97,7 @@ class Encoder:
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * k, np.uint32)])
         if n + len(ids) > len(self.size):
             more = np.zeros(n + 2 * len(ids), np.int64)
-            self.begin, self.size = np.concatenate([self.begin[:n], more]), np.concatenate([self.size[:n], more])
+            self.begin, self.size, self.uses = (np.concatenate([x[:n], more]) for x in (self.begin, self.size, self.uses))
         self.flat[self.used : self.used + k] = np.fromiter(chain.from_iterable(ids), np.uint32, k)
         self.size[n : n + len(ids)] = sizes
         self.begin[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
@@ -95,13 +114,15 @@ class Encoder:
         chunks = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.slots) + len(words) > KEPT:
-            self._forget()
+        self._make_room(len(words))
         known = np.array(list(map(self.slots.get, words)), float)  # None becomes nan
         if len(new := np.flatnonzero(np.isnan(known))):
             known[new] = len(self.slots) + np.arange(len(new))
-            self._learn([words[k] for k in new.tolist()])
-        slot = known.astype(np.int64)[coded.indices.to_numpy()]
+            for k in range(0, len(new), BATCH):
+                self._learn([words[x] for x in new[k : k + BATCH].tolist()])
+        known = known.astype(np.int64)
+        self.uses[known] += 1
+        slot = known[coded.indices.to_numpy()]
         size = self.size[slot]
         ends = np.cumsum(size)
         out = self.flat[np.repeat(self.begin[slot] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]

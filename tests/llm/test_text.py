@@ -70,6 +70,21 @@ def test_ids_of_chunks_are_those_of_texts(name):
         assert ids[at[k] : at[k + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_chunks_met_again_stay(monkeypatch):
+    """When the kept chunks get too many, those of several slices stay, and ids are the same as ever."""
+    public = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(tokens, "KEPT", 60)
+    rnd, often = random.Random(5), [f"often{k}" for k in range(10)]
+    small = tokens.Encoder(public.path("byte_bpe_50k.json"))
+    for n in range(30):
+        texts = pa.array([" ".join([*often, *(f"w{rnd.randrange(10**6)}" for _ in range(15))]) for _ in range(2)] + ["", None])
+        ids, counts = small.ids(texts)
+        want, sizes = tokens.Encoder(public.path("byte_bpe_50k.json")).ids(texts)
+        assert ids.tolist() == want.tolist() and counts.tolist() == sizes.tolist()
+        assert len(small.slots) <= 60 and list(small.slots.values()) == list(range(len(small.slots)))
+        assert n < 2 or {" " + x for x in often[1:]} <= set(small.slots)
+
+
 def test_forgetting_chunks_changes_nothing(monkeypatch):
     public = pytest.importorskip("public_tokenizers")
     texts = pa.array([f"w{k} v{k % 7}" for k in range(50)])
