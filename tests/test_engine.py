@@ -1,6 +1,7 @@
 """The engine in Spark: matching, sources, formats, streaming, validators."""
 
 import golden
+import pandas as pd
 import pytest
 from ledgerloom.functions import codes
 from ledgerloom.operators import election, fold, log, matching, replication, views
@@ -192,6 +193,29 @@ MESSAGES = [
 ]
 
 
+class Reader:
+    """Takes the place of a DataFrame of files: what a reader would run on each part."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *_):
+        return self
+
+    def mapInPandas(self, run, schema):
+        return run
+
+
+def test_small_files_share_frames(spark):
+    n = 25_000
+    part = pd.DataFrame({"path": [str(k) for k in range(n)], "content": [binary.vote_file(k, k % 6)[: 19 + (k % 7 > 0)] for k in range(n)]})
+    frames = list(binary.read_votes(Reader(spark))(iter([part])))
+    assert len(frames) == 3
+    got = pd.concat(frames, ignore_index=True)
+    assert got["path"].tolist() == part["path"].tolist() and got["damaged"].tolist() == [k % 7 == 0 for k in range(n)]
+    assert got["term"].tolist() == [k if k % 7 else 0 for k in range(n)] and got["voted_for"].tolist() == [k % 6 if k % 7 else 0 for k in range(n)]
+
+
 @pytest.mark.parametrize("size", [1, 3, 11, 12, 13, 1000])
 def test_frames_in_chunks(size):
     stream = b"".join(binary.encode_message(k, m) for k, m in MESSAGES)
