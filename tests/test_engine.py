@@ -216,6 +216,23 @@ def test_small_files_share_frames(spark):
     assert got["term"].tolist() == [k if k % 7 else 0 for k in range(n)] and got["voted_for"].tolist() == [k % 6 if k % 7 else 0 for k in range(n)]
 
 
+def test_long_stream(spark):
+    n = 25_000
+    messages = spark.range(n).selectExpr(
+        "'a' as path", f"{n} - 1 - id as msg_no", "2 as code", f"({n} - 1 - id) % 5 as n", f"{n} - id as seq", "'C' as kind", "7L as id", "0L as instrument",
+        "cast(null as string) as side", "cast(null as string) as type", "cast(null as string) as tif", "cast(null as long) as price", "cast(null as long) as quantity",
+    )
+    files = binary.frame_files(messages, 3)
+    # appending frame after frame would copy the stream for each
+    assert "aggregate(" not in files._jdf.queryExecution().optimizedPlan().toString().lower().replace("hashaggregate(", "")
+    content = bytes(files.first().content)
+    assert content == b"".join(binary.encode_message("HEARTBEAT", {"node_id": k % 5, "counter": k + 1}) for k in range(n))[:-3]
+    frames = list(binary.read_frames(Reader(spark))(iter([pd.DataFrame({"path": ["a"], "content": [content]})])))
+    assert [len(f) for f in frames] == [10_000, 10_000, 5_000]
+    got = pd.concat(frames, ignore_index=True)
+    assert got["msg_no"].tolist() == list(range(n)) and got["error"].tolist() == [None] * (n - 1) + ["CUT_OFF"] and got["n_bytes"].tolist() == [24] * (n - 1) + [21]
+
+
 @pytest.mark.parametrize("size", [1, 3, 11, 12, 13, 1000])
 def test_frames_in_chunks(size):
     stream = b"".join(binary.encode_message(k, m) for k, m in MESSAGES)
